@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.llm import langid, line_dedup, quality, secrets, simhash
 from parcelflow.llm.common import table
+from parcelflow.llm.oracles import oracle_sql  # noqa: F401
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
