@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
@@ -59,3 +60,17 @@ def n_words(text: str | Column) -> Column:
 
 def words(text: str | Column) -> Column:
     return F.array_remove(F.split(whole(text), GAP), "")
+
+
+def with_running_total(df: DataFrame, by: list[str], chunk: str, order: list[str], value: str, name: str) -> DataFrame:
+    """df with `name`: the sum of `value` over the earlier rows with the same `by` (not null), in the order of chunk, then order.
+
+    Two levels, so that no key needs its rows in one task: sums of chunks are totalled first (a short row for each chunk), then
+    each chunk adds up its own rows. Chunks should hold some thousands of rows.
+    """
+    sums = df.groupBy(*by, chunk).agg(F.sum(value).alias("__sum"))
+    before = W.partitionBy(*by).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select(*by, chunk, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    own = W.partitionBy(*by, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = df.join(bases, [*by, chunk])
+    return rows.withColumn(name, F.col("__base") + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("__base")

@@ -141,4 +141,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     features = with_features(docs.select(id_col, text_col, lang_col), text_col).select(F.col(id_col), stratum(lang_col).alias("stratum"), *FEATURES)
     cutoffs = thresholds(label_rows(features, labels.select(id_col, "quality"), id_col), risk, delta)
     rows = with_features(docs.select(F.struct("*").alias("__doc"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")), "__text")
-    return with_verdict(rows, cutoffs, "__lang").where("kept").select("__doc.*")
+    # a column that is not deterministic keeps the optimizer from copying the features' whole expressions into the filter
+    rows = with_verdict(rows.withColumn("__at", F.monotonically_increasing_id()), cutoffs, "__lang")
+    return rows.where(F.col("kept") & (F.col("__at") >= 0)).select("__doc.*")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm import langid, line_dedup, quality, secrets, simhash
-from parcelflow.llm.common import table
+from parcelflow.llm import langid, line_dedup, mixing, packing, quality, secrets, sharding, simhash, tokens, vectors
+from parcelflow.llm.common import shared_folder, table
 from parcelflow.llm.oracles import oracle_sql  # noqa: F401
 
 
@@ -15,6 +17,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: where it lies, in a bin of which size."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: its id, counts of its lines, and the SHA-256 of the text that stays."""
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -32,6 +39,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/parcelflow/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    tokens.write(table(spark, sf_dir, "documents"), path)
+    return tokens.read(spark, path).withColumnRenamed("key", "doc_id")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
