@@ -6,7 +6,9 @@ within one edit (one code point inserted, deleted or replaced), whether or not t
 
 Equal lines are first reduced to one (two 64-bit hashes, map-side combined, so a line in a third of all documents costs a row
 for each task). Of distinct lines, two within one edit, of lengths m and m or m + 1, share the first floor(m/2) or the last
-ceil(m/2) code points. Only lines whose half is shared go on to emit all their one-deletion variants as hashed keys:
+ceil(m/2) code points. Lines whose half is shared are held against each other again with one of BLOCKS parts left out, a part
+being counted from the start on its left and from the end on its right, so that an edit within it does not show. Lines that
+still meet another emit all their one-deletion variants as hashed keys:
 
 * (length, position, line without that position): holders of one key differ at that position only, so all are linked;
 * (the line without a position) together with the lines that are that string: one such line, linked with all holders.
@@ -25,6 +27,7 @@ from parcelflow.llm.common import durable, whole
 
 MIN_CHARS = 20
 PIECE = 64
+BLOCKS = 16
 #: So many hashes of lines with a shared half at most (16 bytes each) are broadcast; more are joined by shuffle.
 SMALL = 100_000
 
@@ -44,6 +47,24 @@ def _halves(line: Column) -> Column:
     return F.array(*keys)
 
 
+def _without_block(line: Column) -> Column:
+    n, keys = F.length(line), []
+    for less in (0, 1):
+        m = n - less
+        for j in range(BLOCKS):
+            left, right = F.floor(m * j / BLOCKS).cast("int"), m - F.floor(m * (j + 1) / BLOCKS).cast("int")
+            tail = F.when(right > 0, F.substring(line, -right, right)).otherwise("")
+            keys.append(F.xxhash64(F.lit(j), m, F.substring(line, F.lit(1), left), tail))
+    return F.array(*keys)
+
+
+def _meeting(rows: DataFrame, keys: Column) -> DataFrame:
+    """The rows' h1, with repeats, that share a key with a row of another h1."""
+    held = rows.select("h1", F.explode(keys).alias("key"))
+    shared = held.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    return held.join(shared, "key").select("h1")
+
+
 def _variants(line: Column) -> Column:
     """array<struct<key, kind>>: 0 a replaced position, 1 the line without a position, 2 the line itself. Keys of 1 and 2 meet."""
     n = F.length(line)
@@ -74,14 +95,14 @@ def _variants(line: Column) -> Column:
     return F.concat(F.flatten(F.transform(pieces(n), of_piece)), F.transform(pieces(n + 1), itself))
 
 
-def near_lines(docs: DataFrame, first: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier line within one edit. first: (h1, h2, at), each line's earliest place."""
-    held = _lines(docs, id_col, text_col, min_chars).select("h1", F.explode(_halves(F.col("line"))).alias("key"))
-    shared = held.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    live = durable(held.join(shared, "key").select("h1").distinct(), "live")
+def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(h1, h2) of the distinct lines that have an earlier line within one edit. held: (h1, halves) of all lines; first: (h1, h2, at), each distinct line's earliest place."""
+    live = durable(_meeting(held, F.col("halves")).distinct(), "live")
     some = F.broadcast(live) if live.count() <= SMALL else live
     lines = _lines(docs, id_col, text_col, min_chars).join(some, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
-    lines = durable(lines.join(first, ["h1", "h2"]).select(F.struct("at", "h1", "h2").alias("me"), "line"), "lines")
+    lines = durable(lines, "lines")
+    lines = lines.join(_meeting(lines, _without_block(F.col("line"))).distinct(), "h1", "left_semi")
+    lines = durable(lines.join(first, ["h1", "h2"]).select(F.struct("at", "h1", "h2").alias("me"), "line"), "candidates")
     variants = lines.select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.explode(_variants(F.col("line"))).alias("v")).select("h1", "h2", "v.*")
     met = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
     found = durable(variants.join(met, "key"), "found").join(lines.select(F.col("me"), F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2")), ["h1", "h2"]).select("key", "kind", "me")
@@ -97,9 +118,10 @@ def near_lines(docs: DataFrame, first: DataFrame, id_col: str = "doc_id", text_c
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, th, pos, near): the lines to drop, th being the hash of the document's text, near whether no equal line is earlier."""
     place = F.struct("id", "th", "pos")
-    held = _lines(docs, id_col, text_col, min_chars)
+    lines = _lines(docs, id_col, text_col, min_chars).withColumn("halves", _halves(F.col("line"))).drop("line")
+    held = durable(lines, "held")  # hashes only
     first = durable(held.groupBy("h1", "h2").agg(F.min(place).alias("at")), "first")
-    near = durable(near_lines(docs, first, id_col, text_col, min_chars), "near")
+    near = durable(near_lines(docs, held, first, id_col, text_col, min_chars), "near")
     status = first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     rows = held.select("h1", "h2", place.alias("place")).join(status, ["h1", "h2"]).where((F.col("place") > F.col("at")) | F.col("near"))
     return rows.select("place.id", "place.th", "place.pos", (F.col("place") <= F.col("at")).alias("near"))
@@ -112,14 +134,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty one. Columns of any other name pass through.
     """
     cut = dropped_lines(docs.select(id_col, text_col), id_col, text_col, min_chars).groupBy("id", "th").agg(F.collect_set("pos").alias("__cut"), F.count_if("near").alias("__near"))
-    cut = cut.toDF("__id", "__h", "__cut", "__near")
+    cut = cut.toDF("__id", "__h", "__cut", "__near").hint("shuffle_hash")
     rows = docs.withColumn("__th", F.xxhash64(text_col))
-    rows = rows.join(cut, rows[id_col].eqNullSafe(cut["__id"]) & (rows["__th"] == cut["__h"]), "left")
+    rows = rows.join(cut, rows[id_col].eqNullSafe(cut["__id"]) & (rows["__th"] == cut["__h"]), "left")  # the hint saves sorting the texts
     pieces = F.split(F.col(text_col), "\n")
     # array_except works by hash: positions that stay, in order
     stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__cut"))
-    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(F.col("__pieces"), i + 1)), "\n"))
-    rows = rows.withColumn("__pieces", F.when(F.col("__cut").isNotNull(), pieces))
+    # the lines are bound to a name of the lambda, so they are split once
+    rest = F.transform(F.array(pieces), lambda p: F.array_join(F.transform(stay, lambda i: F.element_at(p, i + 1)), "\n"))[0]
+    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(rest)
     counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(pieces)), "n_dropped": F.coalesce(F.size("__cut"), F.lit(0)), "n_near": F.coalesce("__near", F.lit(0))}
     rows = rows.withColumns({k: v.cast("long") for k, v in counts.items()}).withColumn("__text", text)
     return rows.select(*[F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns], *counts)
