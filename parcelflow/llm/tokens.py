@@ -27,7 +27,7 @@ from parcelflow.llm.common import whole
 #: Ids of a shard end after so many bytes, at the end of a document.
 SHARD_BYTES = 4 << 20
 #: Pieces of text whose ids a task remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 SHARDS = "part int, seq int, n_docs int, n_tokens long, width int, first_key long, last_key long, ids binary, offsets binary, keys array<long>, index binary"
 
 
@@ -39,27 +39,60 @@ def vocabulary() -> str:
 
 class Encoder:
     """Ids of whole texts. This tokenizer drops white space and never looks past it, so a text's ids are those of its parts between
-    spaces, tabs and line ends, in order; parts seen before are not encoded again."""
+    spaces, tabs and line ends, in order; parts seen before are not encoded again. A new part is cut before the marks it ends
+    in, where the tokenizer itself starts another word. What remains and is letters only is one word to it, whose last id is
+    one that ends words: such parts are encoded many at a time and told apart by that."""
 
     def __init__(self, path: str, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {"": b""}
-        self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self.end = end_id.to_bytes(self.width, "little")
+        vocab = self.tokenizer.get_vocab()
+        self.width = 2 if max(len(vocab), *vocab.values(), end_id) < 1 << 16 else 4
+        self.kind, self.end = np.dtype(f"<u{self.width}"), end_id.to_bytes(self.width, "little")
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def ids(self, text: str):
         import numpy as np
 
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def learn(self, parts: set[str]) -> None:
+        """Add new parts to the cache."""
+        cut = {}
+        for x in parts:
+            y = x.rstrip(",.;:!?")
+            cut[x] = (y, x[len(y) :]) if y and len(y) < len(x) and y[-1].isalnum() else (x, "")
+        new = {y for pair in cut.values() for y in pair if y not in self.cache}
+        letters = [y for y in new if y.isalpha()]
+        for a in range(0, len(letters), 1000):
+            some = letters[a : a + 1000]
+            ids = self.ids(" ".join(some))
+            stops = (self.ends_word[ids].nonzero()[0] + 1).tolist()
+            if len(stops) == len(some):
+                raw, w, at = ids.tobytes(), self.width, 0
+                for y, stop in zip(some, stops):
+                    self.cache[y] = raw[at * w : stop * w]
+                    at = stop
+                new.difference_update(some)
+        for y in new:
+            self.cache[y] = self.ids(y).tobytes()
+        for x, (y, z) in cut.items():
+            if z:
+                self.cache[x] = self.cache[y] + self.cache[z]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache = {"": b""}
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({x for p in parts for x in p if x not in self.cache})
-        kind = np.dtype(f"<u{self.width}")
-        self.cache.update(zip(new, (np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        new = set().union(*parts).difference(self.cache)
+        if new:
+            self.learn(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, p)) + self.end for p in parts]
 
