@@ -169,7 +169,8 @@ def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 def _taken(rows: DataFrame, sources: list[Source]) -> DataFrame:
     """The pieces with (whole, part): how often all of the block is taken, and the words of it that the last slot takes."""
     each = slots(rows.sparkSession, sources).groupBy("number", "block").agg(F.count_if(F.col("part") == BLOCK).alias("whole"), F.max(F.when(F.col("part") < BLOCK, F.col("part"))).alias("part"))
-    return pieces(rows).join(each, ["number", "block"], "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
+    # the plan's statistics see the short table of draws, not the slots it grows to: no broadcast
+    return pieces(rows).join(each.hint("merge"), ["number", "block"], "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
