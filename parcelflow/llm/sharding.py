@@ -43,7 +43,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         best = leaves.select("leaf").join(best, "leaf", "left")
         if deep < BITS:
             best = durable(best, "directory")
-        marked = todo.withColumn("leaf", F.substring("path", 1, deep)).join(best, "leaf").drop("leaf")
+        marked = todo.withColumn("leaf", F.substring("path", 1, deep)).join(best.hint("merge"), "leaf").drop("leaf")
         fine = marked.where("depth is not null")
         done = fine if done is None else done.unionByName(fine)
         if deep == BITS:
