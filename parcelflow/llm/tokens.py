@@ -16,6 +16,7 @@ A lookup reads the shards whose key range holds the key, hashes it to one slot a
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from parcelflow.llm.common import whole
 
 #: Ids of a shard end after so many bytes, at the end of a document.
 SHARD_BYTES = 4 << 20
-#: Pieces of text whose ids a task remembers.
+#: Pieces of text whose ids a Python worker remembers, over all tasks it runs.
 CACHE = 1_000_000
 SHARDS = "part int, seq int, n_docs int, n_tokens long, width int, first_key long, last_key long, ids binary, offsets binary, keys array<long>, index binary"
 
@@ -41,7 +42,10 @@ class Encoder:
     """Ids of whole texts. This tokenizer drops white space and never looks past it, so a text's ids are those of its parts between
     spaces, tabs and line ends, in order; parts seen before are not encoded again. A new part is cut before the marks it ends
     in, where the tokenizer itself starts another word. What remains and is letters only is one word to it, whose last id is
-    one that ends words: such parts are encoded many at a time and told apart by that."""
+    one that ends words: such parts are encoded many at a time and told apart by that.
+
+    Parts are remembered in two generations of at most CACHE / 2 each (and what one call adds): when the newer is full it becomes
+    the older, whose parts move back as they are met, so those in use stay known."""
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -50,7 +54,7 @@ class Encoder:
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {"": b""}, {}
         vocab = self.tokenizer.get_vocab()
         self.width = 2 if max(len(vocab), *vocab.values(), end_id) < 1 << 16 else 4
         self.kind, self.end = np.dtype(f"<u{self.width}"), end_id.to_bytes(self.width, "little")
@@ -60,12 +64,16 @@ class Encoder:
     def ids(self, text: str):
         import numpy as np
 
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def learn(self, parts: set[str]) -> None:
         """Add new parts to the cache."""
+        import numpy as np
+
+        known = self.older.keys() & parts
+        self.cache.update((x, self.older[x]) for x in known)
         cut = {}
-        for x in parts:
+        for x in parts - known:
             y = x.rstrip(",.;:!?")
             cut[x] = (y, x[len(y) :]) if y and len(y) < len(x) and y[-1].isalnum() else (x, "")
         new = {y for pair in cut.values() for y in pair if y not in self.cache}
@@ -80,15 +88,16 @@ class Encoder:
                     self.cache[y] = raw[at * w : stop * w]
                     at = stop
                 new.difference_update(some)
-        for y in new:
-            self.cache[y] = self.ids(y).tobytes()
+        rest = list(new)
+        for y, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.cache[y] = np.array(found.ids, self.kind).tobytes()
         for x, (y, z) in cut.items():
             if z:
                 self.cache[x] = self.cache[y] + self.cache[z]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache = {"": b""}
+        if len(self.cache) > CACHE // 2:
+            self.cache, self.older = {"": b""}, self.cache
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set().union(*parts).difference(self.cache)
         if new:
@@ -97,6 +106,12 @@ class Encoder:
         return [b"".join(map(get, p)) + self.end for p in parts]
 
 
+@functools.lru_cache(1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """This process's encoder: a Python worker runs many tasks, which read the vocabulary and meet a word for the first time once."""
+    return Encoder(path, end_id)
+
+
 def _hash(key, seed):
     import numpy as np
 
@@ -171,7 +186,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, seq = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         keys, held, size = [], [], 0
 
         def shard():
