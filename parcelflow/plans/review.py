@@ -101,10 +101,10 @@ def sido_summary(t):
     return rows.rollup("sido_nm").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS]).withColumn("sido_nm", F.coalesce("sido_nm", F.lit("total")))
 
 
-@query("SELECT id, adm_cd, adm_nm, kind, status FROM markup LEFT JOIN node USING (adm_cd) WHERE status = 'pending' AND kind = 'click' AND adm_cd % 7 = 3")
+@query("SELECT id, adm_cd, adm_nm, kind, status FROM markup LEFT JOIN node USING (adm_cd) WHERE status = 'pending' AND kind = 'click'")
 def markup_list(t):
     """A conjunction of optional filters with a left join, by unit, latest first."""
-    conditions = [F.col("status") == "pending", F.col("kind") == "click", F.col("adm_cd") % 7 == 3]
+    conditions = [F.col("status") == "pending", F.col("kind") == "click"]
     rows = t.markup
     for c in conditions:
         rows = rows.where(c)
@@ -152,23 +152,24 @@ def duplicate_codes(t):
     return t.boundary.where(R.non_blank(F.col("ri_cd"))).groupBy("adm_cd", "ri_cd").agg(F.count("*").alias("n")).where("n > 1").orderBy("adm_cd", "ri_cd")
 
 
-@query("SELECT gid, adm_cd, status FROM boundary WHERE gid % 5 <> 0 UNION ALL SELECT gid, adm_cd, 'N' FROM boundary WHERE gid % 5 = 0 UNION ALL SELECT gid + 1000000, adm_cd, 'N' FROM boundary WHERE gid % 50 = 0")
+@query("SELECT gid, adm_cd, CASE WHEN status = 'F' THEN 'N' ELSE status END AS status FROM boundary UNION ALL SELECT -1 - gid, adm_cd, 'N' FROM boundary WHERE ri_cd IS NULL")
 def upserted(t):
-    new = t.boundary.where("gid % 5 = 0").select("gid", "adm_cd", F.lit("N").alias("status"))
-    more = t.boundary.where("gid % 50 = 0").select((F.col("gid") + 1000000).alias("gid"), "adm_cd", F.lit("N").alias("status"))
+    """Finished rows come again with status N; rows without a code come once more under a new number."""
+    new = t.boundary.where("status = 'F'").select("gid", "adm_cd", F.lit("N").alias("status"))
+    more = t.boundary.where("ri_cd IS NULL").select((-1 - F.col("gid")).alias("gid"), "adm_cd", F.lit("N").alias("status"))
     return R.upsert(t.boundary.select("gid", "adm_cd", "status"), new.union(more), ["gid"])
 
 
-@query("SELECT gid, status FROM boundary UNION ALL SELECT gid + 1000000, 'N' FROM boundary WHERE gid % 50 = 0")
+@query("SELECT gid, status FROM boundary UNION ALL SELECT -1 - gid, 'N' FROM boundary WHERE ri_cd IS NULL")
 def inserted_where_new(t):
-    new = t.boundary.where("gid % 50 = 0")
-    new = new.select("gid", F.lit("N").alias("status")).union(new.select(F.col("gid") + 1000000, F.lit("N")))
+    new = t.boundary.where("ri_cd IS NULL")
+    new = new.select("gid", F.lit("N").alias("status")).union(new.select(-1 - F.col("gid"), F.lit("N")))
     return R.insert_ignore(t.boundary.select("gid", "status"), new, ["gid"])
 
 
-@query("SELECT gid, adm_cd, status FROM boundary WHERE adm_cd NOT IN (SELECT adm_cd FROM boundary WHERE gid % 97 = 0) UNION ALL SELECT gid, adm_cd, 'draft' FROM boundary WHERE gid % 97 = 0")
+@query("SELECT gid, adm_cd, status FROM boundary WHERE adm_cd NOT IN (SELECT adm_cd FROM boundary WHERE price > 495000) UNION ALL SELECT gid, adm_cd, 'draft' FROM boundary WHERE price > 495000")
 def replaced_units(t):
-    new = t.boundary.where("gid % 97 = 0").select("gid", "adm_cd", F.lit("draft").alias("status"))
+    new = t.boundary.where("price > 495000").select("gid", "adm_cd", F.lit("draft").alias("status"))
     return R.replace_units(t.boundary.select("gid", "adm_cd", "status"), new, "adm_cd")
 
 
@@ -264,10 +265,10 @@ def point_in_ring(t):
     return t.embeddings.select("vec_id", G.contains(G.ring_from_pairs(F.col("embedding")), F.lit(0.02), F.lit(0.01)).alias("inside"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b FROM (SELECT vec_id, embedding[1] AS x, embedding[2] AS y FROM embeddings WHERE vec_id < 20) a JOIN (SELECT vec_id, embedding[1] AS x, embedding[2] AS y FROM embeddings) b ON abs(a.x::DOUBLE - b.x::DOUBLE) <= 0.05 AND abs(a.y::DOUBLE - b.y::DOUBLE) <= 0.05")
+@query("SELECT a.vec_id AS a, b.vec_id AS b FROM (SELECT vec_id, embedding[1] AS x, embedding[2] AS y FROM embeddings) a JOIN (SELECT vec_id, embedding[1] AS x, embedding[2] AS y FROM embeddings) b ON abs(a.x::DOUBLE - b.x::DOUBLE) <= 0.05 AND abs(a.y::DOUBLE - b.y::DOUBLE) <= 0.05")
 def boxes_nearby(t):
     box = lambda n: t.embeddings.select(F.col("vec_id").alias(n), *[F.col("embedding")[i].cast("double").alias(n + c) for i, c in enumerate("xy")])
-    left = box("a").where("a < 20").withColumns({"low": F.col("ax") - 0.05, "high": F.col("ax") + 0.05})
+    left = box("a").withColumns({"low": F.col("ax") - 0.05, "high": F.col("ax") + 0.05})
     return R.grid_join(left, box("b"), "low", "high", "bx", 0.1).where((F.abs(F.col("ax") - F.col("bx")) <= 0.05) & (F.abs(F.col("ay") - F.col("by")) <= 0.05)).select("a", "b")
 
 
