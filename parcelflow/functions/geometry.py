@@ -53,6 +53,15 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return _edges(ring, lambda a, b: F.coalesce(crosses(a, b), F.lit(0.0))) % 2 == 1
 
 
+def convex(ring: Column) -> Column:
+    """Whether a closed ring turns the same way at every vertex; straight ones don't count."""
+    n = F.size(ring)
+    after = F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, 2, 1))
+    steps = F.zip_with(ring, after, lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+    turns = F.zip_with(F.slice(steps, F.lit(1), n - 1), F.slice(steps, F.lit(2), n - 1), lambda a, b: a["x"] * b["y"] - a["y"] * b["x"])
+    return (F.array_min(turns) > 0) | (F.array_max(turns) < 0)
+
+
 def centroid(ring: Column) -> Column:
     cross = lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]
     six = signed_area(ring) * 6

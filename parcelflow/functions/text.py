@@ -53,3 +53,9 @@ def status_list(c: Column, known: tuple[str, ...] = ("pending", "applied", "reje
     """A comma list reduced to known values; `pending` where none is left."""
     got = F.array_intersect(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda s: F.trim(s)), F.array(*map(F.lit, known)))
     return F.when(F.size(got) > 0, got).otherwise(F.array(F.lit("pending")))
+
+
+def joined_runs(runs: Column, size: int = 8, most: int = 5) -> Column:
+    """Distinct strings of `size` digits that one to `most` neighbouring runs make together."""
+    made = F.transform(runs, lambda _, i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.array_join(F.slice(runs, i + 1, k), "")))
+    return F.array_distinct(F.filter(F.flatten(made), lambda s: F.length(s) == size))

@@ -74,3 +74,36 @@ def grid_join(left: DataFrame, right: DataFrame, low: str, high: str, at: str, c
     cells = F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
     spread = left.withColumn("__cell", F.explode(cells))
     return spread.join(right.withColumn("__cell", F.floor(F.col(at) / cell)), "__cell").where(F.col(at).between(F.col(low), F.col(high))).drop("__cell")
+
+
+def visible(df: DataFrame, unit: str, role: str, own: object) -> DataFrame:
+    """The rows an account may see: all for a master, those of its own unit otherwise. The filter reaches the scan."""
+    return df if role == "master" else df.where(F.col(unit) == own)
+
+
+def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 8) -> DataFrame:
+    """Pairs of rows where the text contains the name; null and empty names match nothing.
+
+    A name of `gram` characters or more meets the texts by its first gram, shorter ones by their own length: a theta join
+    becomes an equi-join with the exact test behind it. Each text files a gram once.
+    """
+    keyed = names.where(F.length(name) > 0).withColumn("__w", F.least(F.length(name), F.lit(gram))).withColumn("__k", F.xxhash64(F.substring(F.col(name), F.lit(1), F.col("__w"))))
+    widths = keyed.agg(F.collect_set("__w")).first()[0]  # at most `gram` numbers
+    if not widths:
+        return texts.join(keyed.drop("__w", "__k"), F.lit(False))
+    grams = [F.when(F.length(text) >= w, F.transform(F.sequence(F.lit(1), F.length(text) - w + 1), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(w))))).otherwise(F.array().cast("array<bigint>")) for w in sorted(widths)]
+    filed = texts.where(F.col(text).isNotNull()).withColumn("__k", F.explode(F.array_distinct(F.concat(*grams))))
+    return filed.join(keyed.drop("__w"), "__k").where(F.contains(F.col(text), F.col(name))).drop("__k")
+
+
+def nearest(left: DataFrame, right: DataFrame, limit: float, allowed: Column, keys: Sequence[str], out: str) -> DataFrame:
+    """(keys, out): for each left row (with x, y) the right row's `out` at the least distance up to limit, ties to the least `out`.
+
+    Right rows lie in one cell of side `limit`; left rows ask their cell and its eight neighbours, so it is an equi-join.
+    """
+    cell = lambda c: F.floor(F.col(c) / limit)
+    asked = left.withColumnsRenamed({"x": "__x", "y": "__y"}).withColumn("__i", F.explode(F.array(*[cell("__x") + d for d in (-1, 0, 1)]))).withColumn("__j", F.explode(F.array(*[cell("__y") + d for d in (-1, 0, 1)])))
+    filed = right.withColumn("__i", cell("x")).withColumn("__j", cell("y"))
+    d = F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2)
+    near = asked.join(filed, ["__i", "__j"]).where(allowed).withColumn("__d", d).where(F.col("__d") <= limit)
+    return near.groupBy(*keys).agg(F.min_by(out, F.struct(F.round("__d", 9), out)).alias(out))

@@ -22,6 +22,27 @@ def apply_commands(markup: DataFrame, commands: DataFrame) -> tuple[DataFrame, D
     return after, won.select("id", F.lit("pending").alias("from_status"), F.col("target").alias("to_status"), "seq")
 
 
+def outcomes(markup: DataFrame, commands: DataFrame) -> DataFrame:
+    """(id, seq, outcome) of every command on a known markup: invalid, same, conflict, stale or done.
+
+    The state that a command meets follows from the one that succeeded, if that was earlier; the reason is looked at first,
+    an equal state before the version.
+    """
+    won = apply_commands(markup, commands)[1].select("id", F.col("to_status").alias("won"), F.col("seq").alias("won_seq"))
+    rows = commands.join(markup.select("id", "status", "version"), "id").join(won, "id", "left")
+    later = F.coalesce(F.col("won_seq") < F.col("seq"), F.lit(False))
+    state, version = F.when(later, F.col("won")).otherwise(F.col("status")), F.col("version") + later.cast("int")
+    known = F.col("target").isin("applied", "rejected")
+    outcome = (
+        F.when((F.col("target") == "rejected") & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "invalid")
+        .when(F.col("target") == state, "same")
+        .when((state != "pending") | ~known, "conflict")
+        .when(F.coalesce("expected", version) != version, "stale")
+        .otherwise("done")
+    )
+    return rows.select("id", "seq", outcome.alias("outcome"))
+
+
 def first_transitions(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Streaming: the first valid command of each markup, stream(id, at timestamp, target, reason), late rows dropped after `delay`."""
     valid = stream.where(F.col("target").isin("applied", "rejected") & ((F.col("target") != "rejected") | (F.trim(F.coalesce("reason", F.lit(""))) != "")))

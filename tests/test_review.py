@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import geometry as G
 from parcelflow.functions import text as X
 from parcelflow.operators import relational as R
-from parcelflow.plans import review
+from parcelflow.plans import inventory, review  # noqa: F401
 from parcelflow.sources import readers as S
 from parcelflow.streaming import markup as M
 
@@ -111,3 +111,29 @@ def test_replace_is_idempotent(spark):
     new = spark.createDataFrame([(9, "b")], "gid long, unit string")
     once = R.replace_units(old, new, "unit")
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, R.replace_units(once, new, "unit").collect())) == [(1, "a"), (9, "b")]
+
+
+def test_contains_join_finds_all(spark):
+    texts = spark.createDataFrame([(1, "abcdefghijkl"), (2, "xab"), (3, None), (4, ""), (5, "abcdefghijkl")], "t int, text string")
+    names = spark.createDataFrame([(1, "ab"), (2, "cdefghijkl"), (3, "cdefghijkx"), (4, ""), (5, None), (6, "b")], "n int, name string")
+    got = sorted((r["t"], r["n"]) for r in R.contains_join(texts, names, "text", "name").collect())
+    assert got == [(1, 1), (1, 2), (1, 6), (2, 1), (2, 6), (5, 1), (5, 2), (5, 6)]
+    assert R.contains_join(texts, names.where("n = 4"), "text", "name").count() == 0
+
+
+def test_outcomes(spark):
+    m = spark.createDataFrame([(1, "pending", 1), (2, "applied", 2)], "id long, status string, version int")
+    c = [(1, 1, "applied", 9, None), (1, 2, "applied", 1, None), (1, 3, "applied", 7, None), (1, 4, "rejected", None, "why"), (2, 5, "rejected", None, " "), (2, 6, "applied", 9, None), (3, 7, "applied", None, None)]
+    got = {r["seq"]: r["outcome"] for r in M.outcomes(m, spark.createDataFrame(c, "id long, seq long, target string, expected int, reason string")).collect()}
+    assert got == {1: "stale", 2: "done", 3: "same", 4: "conflict", 5: "invalid", 6: "same"}
+
+
+def test_access(spark):
+    units = spark.createDataFrame([("a",), ("b",)], "unit string")
+    assert R.visible(units, "unit", "master", "a").count() == 2 and R.visible(units, "unit", "normal", "a").count() == 1
+
+
+def test_inventory_empty(spark):
+    e = spark.createDataFrame([], "a int, x double, y double")
+    assert R.nearest(e, e.withColumnRenamed("a", "b"), 1.0, F.lit(True), ["a"], "b").count() == 0
+    assert spark.range(1).select(X.joined_runs(F.array(F.lit("1234"), F.lit("5678"), F.lit("9")))).first()[0] == ["12345678"]
