@@ -68,6 +68,37 @@ def centroid(ring: Column) -> Column:
     return F.struct((_edges(ring, lambda a, b: (a["x"] + b["x"]) * cross(a, b)) / six).alias("x"), (_edges(ring, lambda a, b: (a["y"] + b["y"]) * cross(a, b)) / six).alias("y"))
 
 
+def centre(ring: Column, least_fill: float = 0.3) -> Column:
+    """The middle of the bounding box, or the centroid where the ring fills too little of it."""
+    box = bbox(ring)
+    fill = F.try_divide(area(ring), (box["maxx"] - box["minx"]) * (box["maxy"] - box["miny"]))
+    return F.when(fill < least_fill, centroid(ring)).otherwise(F.struct(((box["minx"] + box["maxx"]) / 2).alias("x"), ((box["miny"] + box["maxy"]) / 2).alias("y")))
+
+
+def inner_point(ring: Column) -> Column:
+    """A point inside: on the line at the box's mid-height, the middle of the widest stretch within; the first vertex if there is none."""
+    n, box = F.size(ring), bbox(ring)
+    y = (box["miny"] + box["maxy"]) / 2
+    at = lambda a, b: F.when((a["y"] > y) != (b["y"] > y), a["x"] + (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]))
+    xs = F.array_sort(F.array_compact(F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), at)))
+    inside = F.filter(F.transform(xs, lambda x, i: F.struct((F.get(xs, i + 1) - x).alias("width"), x.alias("x"), i.alias("i"))), lambda s: s["i"] % 2 == 0)
+    widest = F.array_max(inside)
+    return F.when(F.size(xs) >= 2, F.struct((widest["x"] + widest["width"] / 2).alias("x"), y.alias("y"))).otherwise(F.struct(F.get(ring, F.lit(0))["x"].alias("x"), F.get(ring, F.lit(0))["y"].alias("y")))
+
+
+def clip(a: Column, b: Column, box: Column) -> Column:
+    """The part of a segment within a box as a struct of two points; null if there is none."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    sides = [(-dx, a["x"] - box["minx"]), (dx, box["maxx"] - a["x"]), (-dy, a["y"] - box["miny"]), (dy, box["maxy"] - a["y"])]
+    enter = F.greatest(F.lit(0.0), *[F.when(p < 0, F.try_divide(q, p)) for p, q in sides])
+    leave = F.least(F.lit(1.0), *[F.when(p > 0, F.try_divide(q, p)) for p, q in sides])
+    outside = F.lit(False)
+    for p, q in sides:
+        outside = outside | ((p == 0) & (q < 0))
+    point = lambda t: F.struct((a["x"] + t * dx).alias("x"), (a["y"] + t * dy).alias("y"))
+    return F.when(~outside & (enter <= leave), F.struct(point(enter).alias("a"), point(leave).alias("b")))
+
+
 #: GRS80, and the parameters of the projected system.
 A, FLAT, LON0, LAT0, K0, FE, FN = 6378137.0, 1 / 298.257222101, 127.5, 38.0, 0.9996, 1_000_000.0, 2_000_000.0
 _N = FLAT / (2 - FLAT)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import geometry as G
 from parcelflow.functions import text as X
 from parcelflow.operators import relational as R
+from parcelflow.operators import spatial as P
 from parcelflow.plans.review import query
 from parcelflow.streaming import markup as M
 
@@ -228,3 +229,22 @@ def cascade_delete(t):
     """Log rows that stay when requests of a kind are deleted; applied ones can't be."""
     gone = t.markup.where("kind = 'error' AND status <> 'applied'").select("id")
     return t.events.select("event_id", (F.col("event_id") - F.col("event_id") % 9).alias("id")).join(gone, "id", "left_anti").select("event_id", "id")
+
+
+XYUV = "(SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS u, embedding[4]::DOUBLE AS v FROM embeddings)"
+
+
+@query(f"SELECT label, n, round(a, 6) AS a, round(b, 6) AS b, round(mu - a * mx + b * my, 6) AS tx, round(mv - b * mx - a * my, 6) AS ty FROM (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, (covar_pop(x, u) + covar_pop(y, v)) / (var_pop(x) + var_pop(y)) AS a, (covar_pop(x, v) - covar_pop(y, u)) / (var_pop(x) + var_pop(y)) AS b FROM {XYUV} GROUP BY label HAVING count(*) > 1)")
+def similarity_fits(t):
+    """The least-squares similarity of each group's point pairs."""
+    at = lambda i, c: F.col("embedding")[i].cast("double").alias(c)
+    fits = P.similarity_fit(t.embeddings.select("label", *[at(i, c) for i, c in enumerate("xyuv")]), ["label"]).where("n > 1")
+    return fits.select("label", "n", *[F.round(c, 6).alias(c) for c in ("a", "b", "tx", "ty")])
+
+
+@query(f"SELECT a.vec_id FROM (SELECT vec_id, x, y, embedding[3]::DOUBLE - x AS dx, embedding[4]::DOUBLE - y AS dy FROM (SELECT vec_id, embedding, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)) a WHERE greatest(0, CASE WHEN dx > 0 THEN (-0.05 - x) / dx WHEN dx < 0 THEN (0.05 - x) / dx END, CASE WHEN dy > 0 THEN (-0.05 - y) / dy WHEN dy < 0 THEN (0.05 - y) / dy END) <= least(1, CASE WHEN dx > 0 THEN (0.05 - x) / dx WHEN dx < 0 THEN (-0.05 - x) / dx END, CASE WHEN dy > 0 THEN (0.05 - y) / dy WHEN dy < 0 THEN (-0.05 - y) / dy END)")
+def segments_in_box(t):
+    """Segments that a box cuts or holds."""
+    p = lambda i: F.struct(F.col("embedding")[i].cast("double").alias("x"), F.col("embedding")[i + 1].cast("double").alias("y"))
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("minx", -0.05), ("miny", -0.05), ("maxx", 0.05), ("maxy", 0.05))])
+    return t.embeddings.select("vec_id", p(0).alias("a"), p(2).alias("b")).where(G.clip(F.col("a"), F.col("b"), box).isNotNull()).select("vec_id")
