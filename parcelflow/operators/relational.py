@@ -85,15 +85,27 @@ def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram
     """Pairs of rows where the text contains the name; null and empty names match nothing.
 
     A name of `gram` characters or more meets the texts by its first gram, shorter ones by their own length: a theta join
-    becomes an equi-join with the exact test behind it. Each text files a gram once.
+    becomes an equi-join with the exact test behind it. Texts file hashes of their grams under a hash of their own, each
+    once, so that no text is copied for each of its grams; grams are cut from an array of characters, in linear time.
     """
-    keyed = names.where(F.length(name) > 0).withColumn("__w", F.least(F.length(name), F.lit(gram))).withColumn("__k", F.xxhash64(F.substring(F.col(name), F.lit(1), F.col("__w"))))
-    widths = keyed.agg(F.collect_set("__w")).first()[0]  # at most `gram` numbers
+    keyed = names.where(F.length(name) > 0).withColumn("__w", F.least(F.length(name), F.lit(gram)))
+    keyed = keyed.withColumn("__k", F.xxhash64(F.slice(F.split(F.col(name), ""), F.lit(1), F.col("__w"))))
+    widths = keyed.agg(F.sort_array(F.collect_set("__w"))).first()[0]  # at most `gram` numbers
+    keyed = keyed.drop("__w")
     if not widths:
-        return texts.join(keyed.drop("__w", "__k"), F.lit(False))
-    grams = [F.when(F.length(text) >= w, F.transform(F.sequence(F.lit(1), F.length(text) - w + 1), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(w))))).otherwise(F.array().cast("array<bigint>")) for w in sorted(widths)]
-    filed = texts.where(F.col(text).isNotNull()).withColumn("__k", F.explode(F.array_distinct(F.concat(*grams))))
-    return filed.join(keyed.drop("__w"), "__k").where(F.contains(F.col(text), F.col(name))).drop("__k")
+        return texts.join(keyed.drop("__k"), F.lit(False))
+
+    def of_width(c: Column, w: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(c) - w + 1), lambda i: F.xxhash64(F.slice(c, i, F.lit(w))))
+        return F.when(F.size(c) >= w, cut).otherwise(F.array().cast("array<bigint>"))
+
+    # the characters are bound to a name of the lambda, so a text is split once
+    grams = F.transform(F.array(F.split(F.col(text), "")), lambda c: F.array_distinct(F.concat(*[of_width(c, w) for w in widths])))[0]
+    own = [F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(1), text).alias("__t2")]
+    filed = texts.where(F.col(text).isNotNull()).select(*own, F.explode(grams).alias("__k"))
+    hits = filed.join(keyed.select("__k"), "__k", "left_semi").distinct()  # rows equal in text are one here
+    rows = texts.select("*", *own).join(hits, ["__t1", "__t2"]).join(keyed, "__k").where(F.contains(F.col(text), F.col(name)))
+    return rows.drop("__t1", "__t2", "__k")
 
 
 def nearest(left: DataFrame, right: DataFrame, limit: float, allowed: Column, keys: Sequence[str], out: str) -> DataFrame:

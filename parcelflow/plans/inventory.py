@@ -51,14 +51,14 @@ def with_sibling(t):
     return t.boundary.join(t.confirm, "gid", "left_semi").select("gid", "adm_cd")
 
 
-@query("SELECT c_custkey AS adm_cd, round(coalesce(s_acctbal, b.mean, c_acctbal), 4) AS value, CASE WHEN s_acctbal IS NOT NULL THEN 'memory' WHEN b.mean IS NOT NULL THEN 'sidecar' ELSE 'computed' END AS found FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey LEFT JOIN (SELECT adm_cd, avg(price) AS mean FROM boundary GROUP BY adm_cd) b ON b.adm_cd = c_custkey")
+@query("SELECT c_custkey AS adm_cd, coalesce(s_acctbal, b.largest, c_acctbal) AS value, CASE WHEN s_acctbal IS NOT NULL THEN 'memory' WHEN b.largest IS NOT NULL THEN 'sidecar' ELSE 'computed' END AS found FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey LEFT JOIN (SELECT adm_cd, max(price) AS largest FROM boundary GROUP BY adm_cd) b ON b.adm_cd = c_custkey")
 def fallback_lookup(t):
     """Three levels of lookup."""
-    b = t.boundary.groupBy("adm_cd").agg(F.avg("price").alias("mean"))
+    b = t.boundary.groupBy("adm_cd").agg(F.max("price").alias("largest"))
     s = t.supplier.select(F.col("s_suppkey").alias("adm_cd"), "s_acctbal")
     rows = t.customer.select(F.col("c_custkey").alias("adm_cd"), "c_acctbal").join(s, "adm_cd", "left").join(b, "adm_cd", "left")
-    found = F.when(F.col("s_acctbal").isNotNull(), "memory").when(F.col("mean").isNotNull(), "sidecar").otherwise("computed")
-    return rows.select("adm_cd", F.round(F.coalesce("s_acctbal", "mean", "c_acctbal"), 4).alias("value"), found.alias("found"))
+    found = F.when(F.col("s_acctbal").isNotNull(), "memory").when(F.col("largest").isNotNull(), "sidecar").otherwise("computed")
+    return rows.select("adm_cd", F.coalesce("s_acctbal", "largest", "c_acctbal").alias("value"), found.alias("found"))
 
 
 @query("SELECT scope, kind, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT unnest(['all', sido_nm]) AS scope, kind, id FROM markup JOIN node USING (adm_cd) WHERE status IN ('pending', 'applied')) GROUP BY ALL")

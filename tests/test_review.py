@@ -118,6 +118,7 @@ def test_contains_join_finds_all(spark):
     names = spark.createDataFrame([(1, "ab"), (2, "cdefghijkl"), (3, "cdefghijkx"), (4, ""), (5, None), (6, "b")], "n int, name string")
     got = sorted((r["t"], r["n"]) for r in R.contains_join(texts, names, "text", "name").collect())
     assert got == [(1, 1), (1, 2), (1, 6), (2, 1), (2, 6), (5, 1), (5, 2), (5, 6)]
+    assert R.contains_join(texts.union(texts), names.union(names), "text", "name").count() == 4 * len(got)
     assert R.contains_join(texts, names.where("n = 4"), "text", "name").count() == 0
 
 
