@@ -23,21 +23,31 @@ HOT = 1000
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The unsigned fingerprint of a text: A-Z lower-cased, shingles of `width` words, a bit set if set in over half of the hashes."""
+def _hashes(text: str | None, width: int):
+    """Arrays of at most CHUNK hashes, one for each shingle of `width` words (A-Z lower-cased; of all words where there are fewer)."""
+    from itertools import islice
+
     import numpy as np
     from xxhash import xxh64_intdigest
 
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and ASCII white space only
     if not found:
-        return 0
+        return
     line, ends = b" ".join(found), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - width + 1)
     pairs = zip(starts[:n].tolist(), ends[min(width, len(found)) - 1 :].tolist())
-    counts = np.zeros(64, np.int64)
     for _ in range(0, n, CHUNK):
-        h = np.array([xxh64_intdigest(line[a:b], 42) for (a, b), _ in zip(pairs, range(CHUNK))], np.uint64)
+        yield np.array([xxh64_intdigest(line[a:b], 42) for a, b in islice(pairs, CHUNK)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The unsigned fingerprint of a text: a bit is set if set in over half of the hashes of its shingles."""
+    import numpy as np
+
+    n, counts = 0, np.zeros(64, np.int64)
+    for h in _hashes(text, width):
+        n += len(h)
         counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 

@@ -23,6 +23,14 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_fingerprint_agrees_over_pieces(monkeypatch):
+    texts = [r[1] for r in awkward()] + ["a b", "a b c", "a b c d"]
+    want = [slow_fingerprint(t) for t in texts]
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(simhash, "CHUNK", size)
+        assert [simhash.fingerprint(t) for t in texts] == want
+
+
 def slow_components(ids, prints, bits):
     label = list(range(len(ids)))
 
