@@ -25,8 +25,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each near-duplicate group stays: the one with the smallest id. Fingerprints within 3 bits are linked, and texts of similarity 0.8 or more in shingles of five words."""
+    return simhash.keep_one(docs, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,12 @@ ball is enumerated upwards only (bits that are 0 become 1): of two values that d
 
 A segment value with more than HOT distinct fingerprints is not joined as it is: of its members' other halves, which may
 differ in 3 bits at most, one of four bytes must agree, so the key is refined by each byte in turn. No link is lost.
+
+64 bits tell little of a similarity of 0.8 (about 10 bits differ), so texts alike by their shingles are found another way, on
+request: by MinHash, BANDS keys of ROWS values. Two shingle sets of Jaccard similarity 0.8 share no key with a chance of 5e-8.
+Of the sets under one key, each is held against one leader; then all pairs of different components are. Every link is verified
+on the whole sets. Many sets of one key that are not alike cost their pairs, which are told apart by length and one bit of each
+MinHash value before the sets are looked at (a pair of similarity 0.8 fails that with a chance of about 1e-7).
 """
 
 from __future__ import annotations
@@ -21,6 +27,9 @@ from parcelflow.llm.components import connected_components
 HOT = 1000
 #: Shingles hashed at a time, so that a text of any length takes bounded memory.
 CHUNK = 1 << 16
+BANDS, ROWS = 32, 4
+#: Of BANDS * ROWS bits, so many agree at least for a pair to be verified: 115 are expected at similarity 0.8, give or take 3.4.
+AGREE = 97
 
 
 def _hashes(text: str | None, width: int):
@@ -52,6 +61,87 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def shingles(text: str | None, width: int):
+    """The distinct hashes of a text's shingles, in order; none for a text without words."""
+    import numpy as np
+
+    found = list(_hashes(text, width))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def sketch(h) -> tuple[int, int, list[int], list[int]]:
+    """Of distinct hashes in order: a hash of them all, their number, BANDS keys, and one bit of each MinHash value in longs."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    factors = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for a in range(0, len(h), 1024):
+        least = np.minimum(least, (factors[:, None] * h[None, a : a + 1024]).min(1))
+    signed = lambda x: (x ^ (1 << 63)) - (1 << 63)
+    keys = [signed(xxh64_intdigest(x.tobytes(), b)) for b, x in enumerate(least.reshape(BANDS, ROWS))]
+    bit = [xxh64_intdigest(x.tobytes(), 7) & 1 for x in least]
+    return signed(xxh64_intdigest(h.tobytes(), 1)), len(h), keys, np.packbits(bit).view("<i8").tolist()
+
+
+def _sketches(text: Column, width: int) -> Column:
+    import pandas as pd
+
+    @pandas_udf("sh long, n long, keys array<long>, bits array<long>")
+    def of(texts):
+        return pd.DataFrame([sketch(shingles(t, width)) for t in texts], columns=["sh", "n", "keys", "bits"])
+
+    return of(text)
+
+
+def _shingles(text: Column, width: int) -> Column:
+    import pandas as pd
+
+    @pandas_udf("array<long>")
+    def of(texts):
+        return pd.Series([shingles(t, width).view("int64") for t in texts])
+
+    return of(text)
+
+
+def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """(th, other): hashes of texts, linked so that the components are those of texts whose shingle sets are equal or have a Jaccard similarity of `least` or more."""
+    if least < 0.8:
+        raise ValueError("the keys and bits are laid out for similarities of 0.8 and more")
+    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    marks = durable(texts.select("th", _sketches(whole("text"), width).alias("s")).select("th", "s.*"), "sketches").where("n > 0")
+    sets = marks.groupBy("sh").agg(F.min("th").alias("node"))
+    equal = marks.select("th", "sh").join(sets, "sh").where("th <> node").select("th", F.col("node").alias("other"))
+    filed = marks.select("sh", "n", F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.explode("keys").alias("key")).distinct()
+    shared = filed.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b").select("key")
+    filed = durable(filed.join(shared, "key"), "filed")
+    wanted = filed.select("sh").distinct().join(sets, "sh").select("sh", F.col("node").alias("th"))
+    held = texts.join(wanted, "th").dropDuplicates(["sh"]).select("sh", _shingles(F.col("text"), width).alias("set"))
+    held = durable(held, "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (x, y) of filed rows, the links (u, v) of sets."""
+        agree = BANDS * ROWS - F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) - F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
+        may = (agree >= AGREE) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n"))
+        pairs = pairs.where(may).select(F.least("x.sh", "y.sh").alias("u"), F.greatest("x.sh", "y.sh").alias("v")).where("u <> v").distinct()
+        pairs = pairs.join(held.toDF("u", "us"), "u").join(held.toDF("v", "vs"), "v")
+        common = F.size(F.array_intersect("us", "vs"))
+        return pairs.where(common >= F.lit(least) * (F.size("us") + F.size("vs") - common)).select("u", "v")
+
+    row = F.struct("sh", "n", "b0", "b1")
+    led = filed.groupBy("key").agg(F.min_by(row, F.xxhash64("sh", "key")).alias("x"))
+    first = durable(verified(filed.select("key", row.alias("y")).join(led, "key")), "led")
+    groups = connected_components(first)
+    placed = filed.join(groups.withColumnRenamed("node", "sh"), "sh", "left").select("key", row.alias("x"), F.coalesce("component", "sh").alias("c"))
+    apart = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
+    placed = durable(placed.join(apart, "key"), "placed")
+    other = placed.select("key", F.col("x").alias("y"), F.col("c").alias("d"))
+    second = verified(placed.join(other, "key").where("c < d"))
+    name = lambda c: sets.select(F.col("sh").alias(c), F.col("node").alias(f"{c}_node"))
+    near = first.union(second).join(name("u"), "u").join(name("v"), "v").select(F.col("u_node").alias("th"), F.col("v_node").alias("other"))
+    return durable(equal.union(near), "similar")
+
+
 def _fingerprints(text: Column) -> Column:
     import pandas as pd
 
@@ -90,29 +180,38 @@ def links(distinct: DataFrame, max_bits: int = 3, hot: int = HOT) -> DataFrame:
     return pairs.where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, least: float | None = None, width: int = 5) -> DataFrame:
     """(id, fp, class_fp, component_id): one row for each row of docs.
 
+    With `least`, texts whose sets of shingles of `width` words have at least that Jaccard similarity are linked as well.
+
     component_id is the smallest id reachable over links of at most max_bits bits, equal fingerprints included; ids that are
     null are never chosen unless a component has no other. Repeated rows come out as often as they went in. An empty table
     gives an empty one.
     """
     prints = durable(fingerprints(docs.select(id_col, text_col), id_col, text_col), "fingerprints")
     reps = durable(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
-    groups = connected_components(links(reps.select("fp"), max_bits))
+    found = links(reps.select("fp"), max_bits)
+    if least is not None:
+        alike = similar(docs.select(text_col), text_col, width, least)
+        ends = alike.select(F.explode(F.array("th", "other")).alias("th")).distinct()
+        of_text = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).join(ends, "th").dropDuplicates(["th"])
+        of_text = durable(of_text.select("th", _fingerprints(whole("text")).alias("fp")), "ends")
+        found = found.union(alike.join(of_text.toDF("th", "u"), "th").join(of_text.toDF("other", "v"), "other").select("u", "v"))
+    groups = connected_components(found)
     joined = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("class_fp"))
     joined = durable(joined, "labelled")
     smallest = joined.groupBy("class_fp").agg(F.min("rep").alias("component_id"))
     return prints.join(joined.join(smallest, "class_fp").select("fp", "class_fp", "component_id"), "fp").select(id_col, "fp", "class_fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """docs with one row of each near-duplicate group: the smallest id, null last, then the smallest hash of the text.
 
     Rows equal in id and text count as one row.
     """
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    groups = near_duplicates(docs.select(key.alias("__key"), F.col(text_col)), "__key", text_col)
+    groups = near_duplicates(docs.select(key.alias("__key"), F.col(text_col)), "__key", text_col, least=least)
     keep = groups.select(F.col("component_id").alias("k")).distinct().select(F.col("k.id").alias("__id"), F.col("k.h").alias("__kh"))
     rows = docs.withColumn("__h", F.xxhash64(text_col))
     kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows["__h"] == keep["__kh"]), "left_semi")

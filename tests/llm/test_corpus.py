@@ -276,3 +276,36 @@ def test_pipeline(spark, tmp_path):
     packed = stage["best_fit_packing"](spark, mix, folder).collect()
     assert sum(p["n_words"] for p in packed) == sum(len(WORD.findall(r["text"])) for r in mix.collect())
     assert len(corpus_pipeline.run(spark, folder).collect()) == len(packed)
+
+
+def test_near_dedup_stage_reaches_similarity(spark):
+    """Copies from 0.6 to 1, in a group and apart, against all pairs."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for k in range(60):
+        base = [word() for _ in range(r.choice([30, 120, 300]) if k else 300)]
+        texts.append(base)
+        for _ in range(40 if k == 0 else 2):
+            copy = list(base)
+            for i in r.sample(range(len(base)), max(1, int(len(base) * r.choice([0.005, 0.01, 0.02, 0.03, 0.06])))):
+                copy[i] = word()
+            texts.append(copy)
+    texts += [["Few", "words"], ["few", "words"], ["other", "words"]]
+    r.shuffle(texts)
+    sets = [{" ".join(t[i : i + 5]).lower() for i in range(max(1, len(t) - 4))} for t in texts]
+    prints = [slow_fingerprint(" ".join(t)) for t in texts]
+    label, pairs = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            near = common >= 0.8 * (len(sets[i]) + len(sets[j]) - common)
+            pairs += near and (prints[i] ^ prints[j]).bit_count() > 3
+            if near or (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert pairs > 50
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(label))
+    assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs.limit(0), "").count() == 0
