@@ -12,7 +12,7 @@
 5. A task returns a count of each query's hits (a node is counted in its home shard only) and a spanning forest of the links,
    never the pairs, so a large group of near copies costs rows in proportion to its size.
 6. Recall is audited against brute force for a bounded sample of queries over all nodes. Below the target the search is
-   repeated with twice the beam and routes, at last through all shards.
+   repeated with twice the beam and routes, then through all shards, at last by holding each query against every node.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SAMPLE, CLUSTER, MAX_CLUSTERS, SHARD, QUERIES = 16_384, 1200, 512, 3000, 8000
 OVERLAP, ROUTES, BEAM = 2, 3, 24
 DEGREE, NEAR, RANDOM, ALPHA, ALWAYS = 20, 40, 12, 1.2, 4
 AUDIT, RECALL = 1000, 0.97
+#: So many of a node's nearest clusters are stored at first; the whole ranking only when more are searched.
+RANKED = 64
 
 
 def matrix(column, width: int):
@@ -162,6 +164,15 @@ def range_search(q, x, adj, starts, least: float, beam: int):
     yield grown
 
 
+def all_pairs(q, x, least: float):
+    """As range_search, by every product; a few rows of q at a time, so that memory is bounded."""
+    import numpy as np
+
+    for a in range(0, len(q), 16):
+        i, j = np.nonzero(q[a : a + 16] @ x.T >= least)
+        yield (a + i) * len(x) + j
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9) -> DataFrame:
     """(id, n_links, component_id, kept): a row for each row of vectors.
 
@@ -203,7 +214,11 @@ def _search(nodes: DataFrame, n: int, width: int, least: float) -> tuple[DataFra
             s = unit(matrix(batch["vec"], width)).astype(np.float32) @ c.T
             yield batch.append_column("near", pa.array(list(np.argsort(-s, axis=1, kind="stable").astype(np.int32)), pa.list_(pa.int32())))
 
-    near = durable(nodes.select("node", "h", "weight", "vec").mapInArrow(assign, "node long, h long, weight long, vec array<double>, near array<int>").withColumn("near", F.slice("near", 1, 64)), "near")
+    def ranking(count: int) -> DataFrame:
+        ranked = nodes.select("node", "h", "weight", "vec").mapInArrow(assign, "node long, h long, weight long, vec array<double>, near array<int>")
+        return durable(ranked.withColumn("near", F.slice("near", 1, count)), "near")
+
+    near = ranking(RANKED)
     share = F.posexplode(F.slice("near", 1, OVERLAP)).alias("rank", "cluster")
     sizes = {r[0]: r[1] for r in near.select(share).groupBy("cluster").count().collect()}  # at most MAX_CLUSTERS rows
     split = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(k, 0) // SHARD))) for k in range(len(c))]), F.col("cluster") + 1)
@@ -240,7 +255,7 @@ def _search(nodes: DataFrame, n: int, width: int, least: float) -> tuple[DataFra
             for k in range(0, len(who), 256):
                 q = asked[k : k + 256]
                 count = np.zeros(len(q), np.int64)
-                for flat in range_search(q.astype(np.float32), x, adj, starts, least - 1e-4, beam):
+                for flat in range_search(q.astype(np.float32), x, adj, starts, least - 1e-4, beam) if beam else all_pairs(q.astype(np.float32), x, least - 1e-4):
                     i, j = flat // len(ids), flat % len(ids)
                     for p in range(0, len(i), 200_000):
                         u, v = i[p : p + 200_000], j[p : p + 200_000]
@@ -281,9 +296,14 @@ def _search(nodes: DataFrame, n: int, width: int, least: float) -> tuple[DataFra
         counts = durable(found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n")), "counts")
         mine = counts.join(F.broadcast(near.sparkSession.createDataFrame([(k,) for k in truth], "node long")), "node").collect()  # at most AUDIT rows
         true, got = sum(truth.values()), sum(r["n"] for r in mine)
-        if got >= RECALL * true or routes >= min(64, len(c)):
+        if got >= RECALL * true or not beam:
             return counts, found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        beam, routes = 2 * beam, min(len(c), 64, 2 * routes)
+        if routes >= len(c):
+            beam = 0  # no graph: every pair
+            continue
+        beam, routes = 2 * beam, min(len(c), 2 * routes)
+        if routes > RANKED:
+            near = ranking(len(c))
 
 
 def join(root, u, v) -> None:

@@ -309,3 +309,15 @@ def test_near_dedup_stage_reaches_similarity(spark):
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(label))
     assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs.limit(0), "").count() == 0
+
+
+def test_vectors_below_the_target_are_searched_whole(spark, monkeypatch):
+    """A group spread over more clusters than are ranked at first; the target asks for every link."""
+    for name, value in {"CLUSTER": 8, "ROUTES": 60, "OVERLAP": 1, "BEAM": 2, "RECALL": 1.0}.items():
+        monkeypatch.setattr(vectors, name, value)
+    r = np.random.default_rng(9)
+    x = r.normal(size=16) + 0.32 * r.normal(size=(640, 16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    out = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert {g["vec_id"]: g["n_links"] for g in out.collect()} == dict(enumerate(want.tolist()))
