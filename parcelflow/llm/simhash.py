@@ -12,7 +12,7 @@ differ in 3 bits at most, one of four bytes must agree, so the key is refined by
 request: by MinHash, BANDS keys of ROWS values. Two shingle sets of Jaccard similarity 0.8 share no key with a chance of 5e-8.
 Of the sets under one key, each is held against one leader; then all pairs of different components are. Every link is verified
 on the whole sets. Many sets of one key that are not alike cost their pairs, which are told apart by length and one bit of each
-MinHash value before the sets are looked at (a pair of similarity 0.8 fails that with a chance of about 1e-7).
+MinHash value before the sets are looked at (a pair of similarity 0.8 fails that with a chance of about 9e-07).
 """
 
 from __future__ import annotations
