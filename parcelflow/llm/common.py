@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+_ends = False
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,31 +23,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Only where none is set (tests) is a local one made."""
+    """The folder the cluster names in spark.checkpoint.dir. A local one is made only where none is set and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="parcelflow-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a table of this application in the shared folder. What lies there goes when the process ends (see release)."""
+    global _ends
+    if not _ends:
+        _ends = True
+        atexit.register(release, spark)
+    return f"{shared_folder(spark)}/parcelflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs only its running tasks.
 
-    The tables lie in <spark.checkpoint.dir>/parcelflow/<application id>/ and may go when the application has ended (see release).
+    The tables lie in <spark.checkpoint.dir>/parcelflow/<application id>/. Those that nothing reads any more go by discard, the rest by
+    release.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/parcelflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._durable_path = path
+    return kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by durable that no later step reads."""
+    for table in tables:
+        _delete(table.sparkSession, table.__dict__["_durable_path"])
 
 
 def release(spark: SparkSession) -> None:
     """Delete what durable() has written in this application. Results that still read it must have been written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/parcelflow/{spark.sparkContext.applicationId}")
     with contextlib.suppress(Exception):
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f"{shared_folder(spark)}/parcelflow/{spark.sparkContext.applicationId}")
+
+
+def let(value: Column, of) -> Column:
+    """of(value), the value being computed once and never copied into the parts of the expression by the optimizer."""
+    return F.transform(F.array(value), of)[0]
+
+
+def row_of(name: str) -> Column:
+    """Column `name` of a row packed as `doc`, whatever the name is."""
+    return F.col("doc").getField(name)
+
+
+def unpacked(docs: DataFrame, replaced: dict[str, Column], *added: str) -> list[Column]:
+    """The columns of docs out of `doc`, those in `replaced` new; columns of docs with the names of `added` ones give way to these."""
+    taken = {a.lower() for a in added}
+    return [replaced.get(c, row_of(c)).alias(c) for c in docs.columns if c.lower() not in taken]
 
 
 def whole(text: str | Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import durable
+from parcelflow.llm.common import discard, durable
 
 MAX_STEPS = 60
 
@@ -31,7 +31,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
+        old = edges
         edges, new = _written(small)
+        discard(old)
         if new == mark:
             break
         mark = new

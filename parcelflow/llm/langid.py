@@ -5,7 +5,10 @@ that is not a letter counting as a blank), by rank. A text's own profile is comp
 distance: the sum over the text's n-grams of the difference in rank, TOP where the language lacks the n-gram. The nearest
 language is predicted; ties go to the first name. All of a text is counted; a text without letters is `und`.
 
-Profiles are fitted on a bounded sample of the labelled rows: about MAX_TRAIN rows of each language, chosen by hash of the id.
+A letter is what str.isalpha calls one: signs that only stand for numbers, such as one half or a Roman numeral, are none.
+
+Profiles are fitted on a bounded sample of the labelled rows: about MAX_TRAIN rows of each language, chosen by hash of the id. There
+may be MAX_LANGS languages; more raise an error, since their profiles would go to the driver.
 """
 
 from __future__ import annotations
@@ -16,18 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from parcelflow.llm.common import unpacked
+
 TOP = 400
 MAX_TRAIN = 4000
+MAX_LANGS = 2000
 #: Letters counted at a time, so that a text of any length takes bounded memory.
 CHUNK = 1 << 20
+#: Runs of letters, and of numeric signs that are no digits: `letters` tells them apart.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def letters(text: str | None) -> str:
+    """The lower-cased runs of letters, joined by blanks; '' if there is none."""
+    runs = LETTERS.findall((text or "").lower())
+    if not all(map(str.isalpha, runs)):
+        runs = "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
+    return " ".join(runs)
+
+
 def grams(text: str | None):
     """(codes, counts) of the n-grams of a text; a code holds up to three code points of 21 bits. Empty if it has no letter."""
     import numpy as np
 
-    line = " ".join(LETTERS.findall((text or "").lower()))
+    line = letters(text)
     if not line:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     c = np.frombuffer(f" {line} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -59,9 +74,11 @@ def ranked(codes, counts, top: int = TOP):
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", max_train: int = MAX_TRAIN, top: int = TOP) -> dict[str, list[int]]:
     """{language: codes by rank} from the rows with a language. What reaches the driver: a count and `top` codes for each language."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()}
     if not sizes:
         return {}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, max_train / n))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), key_col, F.length(text_col)), F.lit(1_000_000)) / 1_000_000
     sample = known.where(draw < share[F.col(lang_col)]).select(lang_col, text_col)
@@ -116,7 +133,8 @@ def predictor(profiles: dict[str, list[int]], top: int = TOP):
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", top: int = TOP) -> DataFrame:
-    """docs with lang_pred and score added. Null, empty and letterless texts: `und`, 0. So is every text if nothing was learned."""
+    """docs with lang_pred and score added, in place of columns with these names. Null, empty and letterless texts: `und`, 0. So is
+    every text if nothing was learned."""
 
     @pandas_udf("lang_pred string, score double")
     def predicted(text):
@@ -125,7 +143,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
         predict = predictor(profiles, top)
         return pd.DataFrame([predict(t) for t in text], columns=["lang_pred", "score"])
 
-    return docs.withColumn("__p", predicted(F.col(text_col))).withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")
+    rows = docs.select(F.struct("*").alias("doc"), predicted(F.col(text_col)).alias("p"))
+    return rows.select(*unpacked(docs, {}, "lang_pred", "score"), "p.lang_pred", "p.score")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines are the \\n-split parts of a text. A line takes part if it has a word and at least MIN_CHARS code points; others stay.
-Order: document id (null first), hash of the text, line number. A line is dropped if an earlier line is equal to it or lies
-within one edit (one code point inserted, deleted or replaced), whether or not that earlier line is itself kept.
+Lines are the \\n-split parts of a text. A line takes part if it has a word; others stay. Order: document id (null first), hash of
+the text, line number. A line is dropped if an earlier line is equal to it, or if both have NEAR_CHARS code points or more and lie
+within one edit (one code point inserted, deleted or replaced), whether or not that earlier line is itself kept. In shorter lines
+one edit makes another word, so they go only where they are equal.
 
 Equal lines are first reduced to one (two 64-bit hashes, map-side combined, so a line in a third of all documents costs a row
 for each task). Of distinct lines, two within one edit, of lengths m and m or m + 1, share the first floor(m/2) or the last
@@ -23,18 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import durable, whole
+from parcelflow.llm.common import discard, durable, row_of, unpacked, whole
 
-MIN_CHARS = 20
+NEAR_CHARS = 20
 PIECE = 64
 BLOCKS = 16
 #: So many hashes of lines with a shared half at most (16 bytes each) are broadcast; more are joined by shuffle.
 SMALL = 100_000
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, least: int = 1) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(whole(text_col), "\n")).alias("pos", "line"))
-    rows = rows.where((F.length("line") >= min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.where((F.length("line") >= least) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
@@ -95,60 +96,65 @@ def _variants(line: Column) -> Column:
     return F.concat(F.flatten(F.transform(pieces(n), of_piece)), F.transform(pieces(n + 1), itself))
 
 
-def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str, text_col: str, near_chars: int) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within one edit. held: (h1, halves) of all lines; first: (h1, h2, at), each distinct line's earliest place."""
     live = durable(_meeting(held, F.col("halves")).distinct(), "live")
     some = F.broadcast(live) if live.count() <= SMALL else live
-    lines = _lines(docs, id_col, text_col, min_chars).join(some, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
-    lines = durable(lines, "lines")
-    lines = lines.join(_meeting(lines, _without_block(F.col("line"))).distinct(), "h1", "left_semi")
+    lines = _lines(docs, id_col, text_col, near_chars).join(some, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    every = durable(lines, "lines")
+    lines = every.join(_meeting(every, _without_block(F.col("line"))).distinct(), "h1", "left_semi")
     lines = durable(lines.join(first, ["h1", "h2"]).select(F.struct("at", "h1", "h2").alias("me"), "line"), "candidates")
     variants = lines.select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.explode(_variants(F.col("line"))).alias("v")).select("h1", "h2", "v.*")
     met = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    found = durable(variants.join(met, "key"), "found").join(lines.select(F.col("me"), F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2")), ["h1", "h2"]).select("key", "kind", "me")
+    found = durable(variants.join(met, "key"), "found")
+    held_by = found.join(lines.select(F.col("me"), F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2")), ["h1", "h2"]).select("key", "kind", "me")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("me")))
-    groups = found.groupBy("key").agg(least(0).alias("r"), least(1).alias("d"), least(2).alias("s"))
+    groups = held_by.groupBy("key").agg(least(0).alias("r"), least(1).alias("d"), least(2).alias("s"))
     other = F.when(F.col("kind") == 0, F.col("r")).when(F.col("kind") == 1, F.col("s")).otherwise(F.col("d"))
-    pairs = found.join(groups, "key").select("me", other.alias("other")).where(F.col("other") < F.col("me")).distinct()
+    pairs = held_by.join(groups, "key").select("me", other.alias("other")).where(F.col("other") < F.col("me")).distinct()
     mine, theirs = lines.toDF("me", "line"), lines.toDF("other", "earlier")
     checked = pairs.join(mine, "me").join(theirs, "other").where(F.levenshtein("line", "earlier", 1).between(0, 1))
-    return checked.select("me.h1", "me.h2").distinct()
+    near = durable(checked.select("me.h1", "me.h2").distinct(), "near")
+    discard(live, every, lines, found)
+    return near
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
     """(id, th, pos, near): the lines to drop, th being the hash of the document's text, near whether no equal line is earlier."""
     place = F.struct("id", "th", "pos")
-    lines = _lines(docs, id_col, text_col, min_chars).withColumn("halves", _halves(F.col("line"))).drop("line")
+    halves = F.when(F.length("line") >= near_chars, _halves(F.col("line")))
+    lines = _lines(docs, id_col, text_col).withColumn("halves", halves).drop("line")
     held = durable(lines, "held")  # hashes only
     first = durable(held.groupBy("h1", "h2").agg(F.min(place).alias("at")), "first")
-    near = durable(near_lines(docs, held, first, id_col, text_col, min_chars), "near")
+    near = near_lines(docs, held, first, id_col, text_col, near_chars)
     status = first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     rows = held.select("h1", "h2", place.alias("place")).join(status, ["h1", "h2"]).where((F.col("place") > F.col("at")) | F.col("near"))
     return rows.select("place.id", "place.th", "place.pos", (F.col("place") <= F.col("at")).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
     """docs with the text cut to the lines that stay, and n_lines, n_dropped, n_near (longs) added; every row stays.
 
     A null text stays null, with no lines. Rows equal in id and text are one document here and come out alike. An empty table
-    gives an empty one. Columns of any other name pass through.
+    gives an empty one. Columns of any other name pass through; those with the names of the added ones give way to them.
     """
-    cut = dropped_lines(docs.select(id_col, text_col), id_col, text_col, min_chars).groupBy("id", "th").agg(F.collect_set("pos").alias("__cut"), F.count_if("near").alias("__near"))
-    cut = cut.toDF("__id", "__h", "__cut", "__near").hint("shuffle_hash")
-    rows = docs.withColumn("__th", F.xxhash64(text_col))
-    rows = rows.join(cut, rows[id_col].eqNullSafe(cut["__id"]) & (rows["__th"] == cut["__h"]), "left")  # the hint saves sorting the texts
-    pieces = F.split(F.col(text_col), "\n")
+    cut = dropped_lines(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, near_chars).groupBy("id", "th").agg(F.collect_set("pos").alias("cut"), F.count_if("near").alias("near"))
+    cut = cut.hint("shuffle_hash")
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(text_col).alias("own"))
+    rows = rows.join(cut, row_of(id_col).eqNullSafe(F.col("id")) & (F.col("own") == F.col("th")), "left")  # the hint saves sorting the texts
+    text, pieces = row_of(text_col), F.split(row_of(text_col), "\n")
     # array_except works by hash: positions that stay, in order
-    stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__cut"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("cut"))
     # the lines are bound to a name of the lambda, so they are split once
     rest = F.transform(F.array(pieces), lambda p: F.array_join(F.transform(stay, lambda i: F.element_at(p, i + 1)), "\n"))[0]
-    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(rest)
-    counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(pieces)), "n_dropped": F.coalesce(F.size("__cut"), F.lit(0)), "n_near": F.coalesce("__near", F.lit(0))}
-    rows = rows.withColumns({k: v.cast("long") for k, v in counts.items()}).withColumn("__text", text)
-    return rows.select(*[F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns], *counts)
+    counts = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(pieces)), "n_dropped": F.coalesce(F.size("cut"), F.lit(0)), "n_near": F.coalesce("near", F.lit(0))}
+    cleaned = unpacked(docs, {text_col: F.when(F.col("cut").isNull(), text).otherwise(rest)}, *counts)
+    return rows.select(*cleaned, *[v.cast("long").alias(k) for k, v in counts.items()])
 
 
-def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """dedup_lines without the counts; a document that had words and has none left is no longer a row."""
-    had = F.col("n_dropped") > 0
-    return dedup_lines(docs, id_col, text_col, min_chars).where(~had | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
+    """docs with the text cut to the lines that stay; a document that had words and has none left is no longer a row."""
+    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("doc"))
+    done = dedup_lines(packed, "id", "text", near_chars)
+    done = done.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return done.select(*unpacked(docs, {text_col: F.col("text")}))

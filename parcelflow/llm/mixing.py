@@ -8,6 +8,9 @@ indexes (a Feistel network, walked until it falls in range), going round again a
 pieces by (source, block), a key with at most two slots and the few pieces of a block, so there is no hot key.
 
 The last slot of a source takes as many words of its block as its target still lacks.
+
+Rows equal in id and text are one entry with a count until their places are known, so copies of one row are no hot group. There
+may be MAX_SOURCES sources, the mix's configuration; more raise an error.
 """
 
 from __future__ import annotations
@@ -18,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from parcelflow.llm.common import durable, n_words, whole, with_running_total, words
+from parcelflow.llm.common import durable, n_words, row_of, unpacked, whole, with_running_total, words
 
 BLOCK, SEED, WEIGHTS, SHARE, MOST = 1024, 7, (3, 1, 2), 1.5, 2
 #: Slots of an output shard at least; there are never more than MAX_SHARDS, so the draws stay a small table.
 SHARD_SLOTS, MAX_SHARDS = 4096, 4096
 #: Documents of a chunk in which offsets are added up.
 CHUNK = 8192
-#: So many sources are broadcast at most.
-SMALL = 10_000
+#: So many sources at most: a short row for each goes to the driver, and to the tasks.
+MAX_SOURCES = 10_000
 
 
 @dataclass
@@ -129,12 +132,13 @@ def draws(sources: list[Source], seed: int = SEED) -> list[tuple[int, int, int,
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, list[Source]]:
     """Written rows (id, th, source, size, number), and the sources' plans in order: by code point, null last."""
     rows = durable(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("source"), n_words(text_col).alias("size")), "sized")
-    found = rows.groupBy("source").agg(F.sum("size")).collect()  # the mix's configuration: a row for each source
+    found = rows.groupBy("source").agg(F.sum("size")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sources = plan([int(r[1]) for r in found])
     names = rows.sparkSession.createDataFrame([(r[0], k) for k, r in enumerate(found)], "name string, number int")
-    names = F.broadcast(names) if len(found) <= SMALL else names
-    return rows.join(names, F.col("source").eqNullSafe(F.col("name"))).drop("name"), sources
+    return rows.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).drop("name"), sources
 
 
 def slots(spark, sources: list[Source], block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -157,9 +161,13 @@ def slots(spark, sources: list[Source], block: int = BLOCK, seed: int = SEED) ->
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """rows with (block, low, high, skip): a row for each block a document has words in, at [low, high) there, after `skip` of its
     own words. A document without words has one row with nulls."""
+    rows = rows.groupBy("id", "th", "source", "size", "number").agg(F.count("*").alias("copies")).withColumn("all", F.col("size") * F.col("copies"))
+    rows = durable(rows, "entries")
     n = max(1, rows.count())
-    rows = rows.withColumn("__c", F.pmod(F.xxhash64("id", "th"), F.lit(-(-n // CHUNK))))
-    rows = with_running_total(rows.withColumn("__o", F.xxhash64(F.lit(3), "id", "th")), ["number"], "__c", ["__o", "id", "th"], "size", "start").drop("__c", "__o")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "th"), F.lit(-(-n // CHUNK)))).withColumn("order", F.xxhash64(F.lit(3), "id", "th"))
+    rows = with_running_total(rows, ["number"], "chunk", ["order", "id", "th"], "all", "first")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = rows.withColumn("start", F.col("first") + F.col("copy") * F.col("size")).drop("chunk", "order", "first", "copies", "copy", "all")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     rows = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
@@ -204,17 +212,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     part = F.when(F.col("part") > F.col("low"), F.array(F.struct((F.col("whole") + 1).cast("int").alias("copy"), span(F.least("high", "part")).alias("span"))))
     some = _taken(rows, sources).where("size > 0")
     some = some.select("id", "th", "number", "start", "size", F.explode(F.concat(full, F.coalesce(part, F.array().cast(full_type())))).alias("t"))
-    copies = some.groupBy("id", "th", "number", "start", "size", "t.copy").agg(F.array_sort(F.collect_list("t.span")).alias("__spans"))
-    copies = copies.select(F.col("id").alias("__id"), F.col("th").alias("__h"), F.col("size").alias("__size"), "__spans")
-    texts = docs.withColumn("__th", F.xxhash64(text_col)).dropDuplicates([id_col, "__th"])
-    out = texts.join(copies, texts[id_col].eqNullSafe(copies["__id"]) & (texts["__th"] == copies["__h"]))
-    got = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["b"] - s["a"])
+    copies = some.groupBy("id", "th", "number", "start", "size", "t.copy").agg(F.array_sort(F.collect_list("t.span")).alias("spans"))
+    texts = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own")).dropDuplicates(["own_id", "own"])
+    out = texts.join(copies, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("th")))
+    got = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["b"] - s["a"])
     # the words are bound to a name of the lambda, so they are split once
-    slices = lambda w: F.flatten(F.transform("__spans", lambda s: F.slice(w, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int"))))
-    cut = F.transform(F.array(words(text_col)), lambda w: F.array_join(slices(w), " "))[0]
-    out = out.withColumn("__text", F.when(got < F.col("__size"), cut).otherwise(F.col(text_col)))
-    new = {text_col: F.col("__text")} | ({n_chars_col: F.length(whole("__text")).cast(docs.schema[n_chars_col].dataType)} if n_chars_col else {})
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    slices = lambda w: F.flatten(F.transform("spans", lambda s: F.slice(w, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int"))))
+    cut = F.transform(F.array(words(row_of(text_col))), lambda w: F.array_join(slices(w), " "))[0]
+    out = out.withColumn("text", F.when(got < F.col("size"), cut).otherwise(row_of(text_col)))
+    new = {text_col: F.col("text")} | ({n_chars_col: F.length(whole("text")).cast(docs.schema[n_chars_col].dataType)} if n_chars_col else {})
+    return out.select(*unpacked(docs, new))
 
 
 def full_type() -> str:

@@ -11,13 +11,13 @@ GAP = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def line_dedup_sql(docs: str = "documents", least: int = line_dedup.MIN_CHARS) -> str:
+def line_dedup_sql(docs: str = "documents", least: int = line_dedup.NEAR_CHARS) -> str:
     return f"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {docs} WHERE text IS NOT NULL),
-p AS (SELECT * FROM l WHERE length(line) >= {least} AND regexp_matches(line, '{HAS_WORD}')),
+p AS (SELECT * FROM l WHERE regexp_matches(line, '{HAS_WORD}')),
 d AS (SELECT line, min(row(doc_id, pos)) AS fst FROM p GROUP BY line),
 k AS (SELECT line, fst, length(line) - x AS m, side, CASE side WHEN 0 THEN left(line, (length(line) - x) // 2) ELSE right(line, length(line) - x - (length(line) - x) // 2) END AS half
-      FROM d, (VALUES (0), (1)) AS a(x), (VALUES (0), (1)) AS b(side)),
+      FROM d, (VALUES (0), (1)) AS a(x), (VALUES (0), (1)) AS b(side) WHERE length(line) >= {least}),
 near AS (SELECT DISTINCT a.line FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.half = b.half WHERE b.fst < a.fst AND abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1),
 flags AS (SELECT p.doc_id, p.pos, near.line IS NOT NULL AND row(p.doc_id, p.pos) = d.fst AS near FROM p JOIN d USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR row(p.doc_id, p.pos) > d.fst),
 o AS (SELECT l.doc_id, count(*) AS n_lines, count(f.pos) AS n_dropped, count(*) FILTER (f.near) AS n_near, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (f.pos IS NULL), '') AS text FROM l LEFT JOIN flags f USING (doc_id, pos) GROUP BY l.doc_id)
@@ -26,10 +26,9 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_drop
 
 def quality_with(docs: str = "documents", risk: float = quality.RISK, delta: float = quality.DELTA) -> str:
     """Common table expressions that end in q: one row for each document with the features and the verdict."""
-    rate, level = risk / len(quality.RATIOS), f"{delta!r} / (n_strata * {len(quality.RATIOS)})"
+    rate, level = risk, f"{delta!r} / n_strata"
     grid = ", ".join(f"({c})" for c in quality.GRID)
-    ratio = {k: f"CASE WHEN {b} > 0 THEN (1000 * {a}) // {b} ELSE 0 END" for k, (a, b) in quality.RATIOS.items()}
-    values = " UNION ALL ".join(f"SELECT doc_id, stratum, '{k}' AS ratio, {v} AS value FROM f" for k, v in ratio.items())
+    parts = ", ".join(f"CASE WHEN {b} > 0 THEN (1000 * {a}) // {b} * 100 // {unit} ELSE 0 END" for a, b, unit in quality.RATIOS.values())
     return f"""
 w AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{W}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{HAS_WORD}')) AS l FROM {docs}),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w)),
@@ -37,15 +36,16 @@ r AS (SELECT doc_id, count(DISTINCT i + x) AS n FROM (SELECT doc_id, i FROM g QU
 f AS (SELECT doc_id, coalesce(lang, '') AS stratum, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{GAP}', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
       (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, length(regexp_replace(text, '\\P{{Lu}}+', '', 'g'))::BIGINT AS n_capitals, length(regexp_replace(text, '[^!?]+', '', 'g'))::BIGINT AS n_marks FROM w LEFT JOIN r USING (doc_id)),
 told AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-v AS (SELECT x.*, good FROM ({values}) x JOIN told USING (doc_id)),
+s AS (SELECT doc_id, stratum, greatest({parts}) AS score FROM f),
+v AS (SELECT s.*, good FROM s JOIN told USING (doc_id)),
 n AS (SELECT stratum, count(*) AS n_good, count(*) OVER () AS n_strata FROM f JOIN told USING (doc_id) WHERE good GROUP BY stratum),
 terms AS (SELECT stratum, k, n_strata, sum(exp(lgamma(n_good + 1) - lgamma(k + 1) - lgamma(n_good - k + 1) + k * {math.log(rate)!r} + (n_good - k) * {math.log1p(-rate)!r})) OVER (PARTITION BY stratum ORDER BY k) AS cdf
           FROM (SELECT *, unnest(generate_series(0, floor(n_good * {rate!r})::BIGINT)) AS k FROM n)),
 allowed AS (SELECT stratum, max(k) AS allowed FROM terms WHERE cdf <= {level} GROUP BY stratum),
-o AS (SELECT stratum, ratio, cutoff, count(*) FILTER (good) AS n_false, count(*) FILTER (NOT good) AS n_bad FROM v JOIN (VALUES {grid}) AS c(cutoff) ON value > cutoff GROUP BY ALL),
-best AS (SELECT stratum, ratio, cutoff FROM o JOIN allowed USING (stratum) WHERE n_false <= allowed AND n_bad > {quality.GAIN} * n_false
-         QUALIFY row_number() OVER (PARTITION BY stratum, ratio ORDER BY n_bad - {quality.GAIN} * n_false DESC, cutoff DESC) = 1),
-bad AS (SELECT DISTINCT doc_id FROM ({values}) JOIN best USING (stratum, ratio) WHERE value > cutoff),
+o AS (SELECT stratum, cutoff, count(*) FILTER (good) AS n_false, count(*) FILTER (NOT good) AS n_bad FROM v JOIN (VALUES {grid}) AS c(cutoff) ON score > cutoff GROUP BY ALL),
+best AS (SELECT stratum, cutoff FROM o JOIN allowed USING (stratum) WHERE n_false <= allowed AND n_bad > {quality.GAIN} * n_false
+         QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY n_bad - {quality.GAIN} * n_false DESC, cutoff DESC) = 1),
+bad AS (SELECT DISTINCT doc_id FROM s JOIN best USING (stratum) WHERE score > cutoff),
 q AS (SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept FROM f LEFT JOIN bad USING (doc_id))"""
 
 

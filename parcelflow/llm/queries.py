@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.llm import langid, line_dedup, mixing, packing, quality, secrets, sharding, simhash, tokens, vectors
-from parcelflow.llm.common import shared_folder, table
+from parcelflow.llm.common import new_path, table
 from parcelflow.llm.oracles import oracle_sql  # noqa: F401
 
 
@@ -29,7 +27,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    """Two instalments: what the first has scanned, the second finds in the ledger."""
+    findings, *_ = secrets.scan_in_instalments(table(spark, sf_dir, "documents"))
     return secrets.digest(findings)
 
 
@@ -48,7 +47,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/parcelflow/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     tokens.write(table(spark, sf_dir, "documents"), path)
     return tokens.read(spark, path).withColumnRenamed("key", "doc_id")
 

@@ -3,10 +3,11 @@
 A blob is a distinct text, addressed by its SHA-256. The ledger has a row for each (blob, rule version) ever scanned, with the
 spans found. A run addresses every row of the table (each is a version of some path), takes the blobs the ledger lacks at the
 present rule version, scans each of them once, adds them to the ledger, and joins the findings back to all rows that hold the
-blob. A changed rule changes the version, so everything counts as unseen again; an unchanged corpus scans nothing.
+blob. A changed rule changes the version, so everything counts as unseen again; an unchanged corpus scans nothing. A corpus may come
+in instalments, each scanned against the ledger that those before it have left.
 
 Texts travel to their blob's partition compressed, and a task sends each blob once, so a text that a third of all rows hold
-arrives as one row for each task.
+arrives as one row for each task. Findings go back to the rows of a blob by (blob, salt) where more than OFTEN rows hold it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ ADDED = (
 )
 RULES = BASE + ADDED
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
+#: Rows that meet a blob's findings under one key, about.
+OFTEN = 20_000
 LEDGER = f"blob binary, version string, spans {SPANS}"
 
 
@@ -94,11 +97,34 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id
         known = ledger.where(F.col("version") == now).select("blob")
         blobs = blobs.join(known, "blob", "left_anti").repartition("blob")
     new = blobs.mapInArrow(scanner, f"blob binary, spans {SPANS}").select("blob", F.lit(now).alias("version"), "spans")
-    full = durable(new if ledger is None else ledger.unionByName(new), "ledger")
+    new = durable(new, "ledger")
+    full = new if ledger is None else ledger.unionByName(new)
     hits = full.where((F.col("version") == now) & (F.size("spans") > 0)).select("blob", "spans")
-    paths = docs.select(F.col(id_col), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"))
-    found = paths.join(hits, "blob", "left")
-    return found.select(id_col, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), full
+    paths = durable(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob")), "paths")
+    often = durable(paths.groupBy("blob").count().where(F.col("count") > OFTEN).select("blob", F.ceil(F.col("count") / OFTEN).cast("int").alias("salts")), "often")
+    if not often.isEmpty():
+        few = F.broadcast(often) if often.count() <= OFTEN else often
+        salts = F.coalesce("salts", F.lit(1))
+        paths = paths.join(few, "blob", "left").withColumn("salt", F.floor(F.rand(7) * salts).cast("int")).drop("salts")
+        hits = hits.join(few, "blob", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    else:
+        paths, hits = paths.withColumn("salt", F.lit(0)), hits.withColumn("salt", F.lit(0))
+    found = paths.join(hits, ["blob", "salt"], "left")
+    return found.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), full
+
+
+def scan_in_instalments(docs: DataFrame, n: int = 2, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> tuple[DataFrame, DataFrame, list[int]]:
+    """scan() over docs as it arrives in n instalments, dealt by hash of id and text: every row is in one of them.
+
+    -> (findings of all rows, ledger, how many blobs each instalment had to scan).
+    """
+    turn, found, scanned = F.pmod(F.xxhash64(F.lit("turn"), id_col, text_col), F.lit(n)), None, []
+    for k in range(n):
+        before = 0 if ledger is None else ledger.count()
+        some, ledger = scan(docs.where(turn == k), ledger, id_col, text_col, rules)
+        scanned.append(ledger.count() - before)
+        found = some if found is None else found.unionByName(some)
+    return found, ledger, scanned
 
 
 def digest(findings: DataFrame, id_col: str = "doc_id", rules=RULES) -> DataFrame:

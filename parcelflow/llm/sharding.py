@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import durable, whole, with_running_total
+from parcelflow.llm.common import durable, unpacked, whole, with_running_total
 
 LIMIT = 1 << 20
 BITS, STEP = 128, 24
@@ -23,22 +23,22 @@ def _path(id_col: str, text_col: str):
     return F.concat(bits(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), bits(whole(text_col)))
 
 
-def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(id, n_bytes, shard, depth, page): a row for each row of docs. Shards are (shard, page); shard is the prefix as 0s and 1s.
-
-    n_bytes is the UTF-8 length of the text, 0 for null. An empty table gives an empty one.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(whole(text_col)).cast("long").alias("n_bytes"), _path(id_col, text_col).alias("path"))
-    rows = durable(rows.withColumn("row", F.monotonically_increasing_id()), "paths")
+def _placed(rows: DataFrame, limit: int) -> DataFrame:
+    """rows(path, row, n_bytes, and any others) with shard, depth and page."""
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     low, deep = 0, min(BITS, (total // limit).bit_length() + 6)
     done, todo = None, rows
     while True:
         leaves = todo.groupBy(F.substring("path", 1, deep).alias("leaf")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
+        leaves = durable(leaves, "leaves")
         levels = leaves.select("leaf", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(deep))).alias("depth"))
         prefixes = levels.groupBy("depth", F.expr("substring(leaf, 1, depth)").alias("prefix")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
-        fits = prefixes.where((F.col("b") <= limit) | (F.col("n") == 1))
-        best = levels.select("leaf", "depth", F.expr("substring(leaf, 1, depth)").alias("prefix")).join(fits.select("depth", "prefix"), ["depth", "prefix"])
+        fits = durable(prefixes.where((F.col("b") <= limit) | (F.col("n") == 1)).select("depth", "prefix"), "fits")
+        # at shorter prefixes than any that fits, many leaves share a key and none finds a match
+        least = fits.agg(F.min("depth")).first()[0]
+        least = deep + 1 if least is None else least
+        could = F.explode(F.when(F.lit(least <= deep), F.sequence(F.lit(least), F.lit(deep)))).alias("depth")
+        best = leaves.select("leaf", could).withColumn("prefix", F.expr("substring(leaf, 1, depth)")).join(fits, ["depth", "prefix"])
         best = best.groupBy("leaf").agg(F.min("depth").alias("depth"))
         best = leaves.select("leaf").join(best, "leaf", "left")
         if deep < BITS:
@@ -53,9 +53,35 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
             rest = None
             break
         low, deep, todo = deep + 1, min(BITS, deep + STEP), durable(marked.where("depth is null").drop("depth"), "crowded")
-    out = done.select("id", "n_bytes", F.expr("substring(path, 1, depth)").alias("shard"), "depth", F.lit(0).cast("long").alias("page"))
+    out = done.withColumn("shard", F.expr("substring(path, 1, depth)")).withColumn("page", F.lit(0).cast("long"))
     if rest is not None:
         same = with_running_total(rest.withColumn("one", F.lit(1)).withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(4096))), ["path"], "chunk", ["row"], "one", "at")
         each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("n_bytes")))
-        out = out.unionByName(same.select("id", "n_bytes", F.col("path").alias("shard"), F.lit(BITS).alias("depth"), F.floor(F.col("at") / each).alias("page")))
-    return out.withColumn("depth", F.col("depth").cast("long")).withColumnRenamed("id", id_col)
+        same = same.withColumn("shard", F.col("path")).withColumn("depth", F.lit(BITS)).withColumn("page", F.floor(F.col("at") / each))
+        out = out.unionByName(same.select(*out.columns))
+    return out
+
+
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+    """(id, n_bytes, shard, depth, page): a row for each row of docs. Shards are (shard, page); shard is the prefix as 0s and 1s.
+
+    n_bytes is the UTF-8 length of the text, 0 for null. An empty table gives an empty one.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(whole(text_col)).cast("long").alias("n_bytes"), _path(id_col, text_col).alias("path"))
+    rows = durable(rows.withColumn("row", F.monotonically_increasing_id()), "paths")
+    return _placed(rows, limit).select(F.col("id").alias(id_col), "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "page")
+
+
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
+    """Write the rows of docs in their shards: a folder path/shard=p<prefix>/page=<page> with one Parquet file for each shard.
+
+    The prefix is written after a letter, so that readers don't take it for a number. Columns of docs have any names but these two.
+    """
+    n_bytes = F.octet_length(whole(text_col)).cast("long").alias("n_bytes")
+    rows = docs.select(F.struct("*").alias("doc"), n_bytes, _path(id_col, text_col).alias("path"))
+    rows = durable(rows.withColumn("row", F.monotonically_increasing_id()), "paths")
+    placed = _placed(rows, limit).withColumn("shard", F.concat(F.lit("p"), "shard"))
+    placed = placed.select(*unpacked(docs, {}, "shard", "page"), "shard", "page")
+    # as many tasks as a shard each would need, within reason: a task writes whole shards
+    tasks = max(1, min(200_000, 2 * (rows.agg(F.sum("n_bytes")).first()[0] or 0) // (128 * limit)))
+    placed.repartition(tasks, "shard", "page").sortWithinPartitions("shard", "page").write.mode("overwrite").partitionBy("shard", "page").parquet(path)

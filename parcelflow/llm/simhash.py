@@ -6,7 +6,9 @@ the Hamming ball of radius 1 round its own value; equal keys meet in a hash join
 ball is enumerated upwards only (bits that are 0 become 1): of two values that differ in one bit, one reaches the other.
 
 A segment value with more than HOT distinct fingerprints is not joined as it is: of its members' other halves, which may
-differ in 3 bits at most, one of four bytes must agree, so the key is refined by each byte in turn. No link is lost.
+differ in 3 bits at most, one of four bytes must agree, so the key is refined by each byte in turn; a refined key that is still
+crowded is refined by a quarter of the bits that are left, and so once more. No link is lost, and a key of the last kind tells
+at least 46 bits.
 
 64 bits tell little of a similarity of 0.8 (about 10 bits differ), so texts alike by their shingles are found another way, on
 request: by MinHash, BANDS keys of ROWS values. Two shingle sets of Jaccard similarity 0.8 share no key with a chance of 5e-8.
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from parcelflow.llm.common import durable, whole
+from parcelflow.llm.common import durable, unpacked, whole
 from parcelflow.llm.components import connected_components
 
 HOT = 1000
@@ -157,6 +159,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), _fingerprints(whole(text_col)).alias("fp"))
 
 
+def quarters(mask: int) -> list[int]:
+    """The bits of a mask in four parts."""
+    bits = [b for b in range(32) if mask >> b & 1]
+    return [sum(1 << b for b in bits[len(bits) * k // 4 : len(bits) * (k + 1) // 4]) for k in range(4)]
+
+
 def links(distinct: DataFrame, max_bits: int = 3, hot: int = HOT) -> DataFrame:
     """distinct(fp) without repeats -> (u, v), pairs of fingerprints that differ in 1 to max_bits (at most 3) bits."""
     if not 0 < max_bits <= 3:
@@ -168,14 +176,21 @@ def links(distinct: DataFrame, max_bits: int = 3, hot: int = HOT) -> DataFrame:
     ones = F.array(*[F.lit(1 << j) for j in range(32)])
     ball = F.transform(F.filter(ones, lambda b: F.col("key").bitwiseAND(b) == 0), lambda b: F.col("key") + b)
     probes = filed.select("fp", "rest", F.explode(F.concat(F.array("key"), ball)).alias("key"))
-    crowded = filed.groupBy("key").count().where(F.col("count") > hot).select("key")
-    on = ["key"]
-    if not crowded.isEmpty():  # only then is there more to shuffle
-        marked = crowded.withColumn("crowd", F.lit(True))
-        part = F.transform(F.array(*map(F.lit, range(4))), lambda i: F.array(i, F.shiftrightunsigned(F.col("rest"), 0).bitwiseAND(F.element_at(F.array(*[F.lit(255 << 8 * j) for j in range(4)]), i.cast("int") + 1))))
-        parts = F.when(F.col("crowd"), part.cast("array<array<bigint>>")).otherwise(F.array(F.array(F.lit(-1), F.lit(0)).cast("array<bigint>")))
-        filed, probes = (x.join(marked, "key", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))).withColumn("part", F.explode(parts)).select("fp", "key", F.col("part")[0].alias("i"), F.col("part")[1].alias("byte")) for x in (filed, probes))
-        on = ["key", "i", "byte"]
+    filed, probes = (x.withColumn("path", F.lit(0)).withColumn("tag", F.lit(0).cast("long")) for x in (filed, probes))
+    on = ["key", "path", "tag"]
+    masks = [0xFFFFFFFF]  # of the bits of rest that a path has not looked at; the parts of path p are 4 * p + 1 and the next three
+    for level in range(3):
+        crowded = filed.groupBy(*on).count().where(F.col("count") > hot).select(*on)
+        crowded = durable(crowded, "crowded") if level or not crowded.isEmpty() else crowded
+        if crowded.isEmpty():
+            break
+        parts = [part for mask in masks for part in quarters(mask)]  # of all paths so far, in order
+        masks = [0xFFFFFFFF] + [masks[k // 4] & ~part for k, part in enumerate(parts)]
+        part = lambda i: F.element_at(F.array(*map(F.lit, parts)), (F.col("path") * 4 + i + 1).cast("int"))  # noqa: B023, E731
+        finer = F.transform(F.array(*map(F.lit, range(4))), lambda i: F.struct((F.col("path") * 4 + 1 + i).alias("path"), F.xxhash64("tag", i, F.col("rest").bitwiseAND(part(i))).alias("tag")))
+        same = F.array(F.struct(F.col("path"), F.col("tag")))
+        crowded = crowded.withColumn("crowd", F.lit(True))
+        filed, probes = (x.join(crowded, on, "left").withColumn("p", F.explode(F.when(F.col("crowd"), finer).otherwise(same))).select("fp", "key", "rest", "p.path", "p.tag") for x in (filed, probes))
     pairs = filed.select(F.col("fp").alias("u"), *on).join(probes.select(F.col("fp").alias("v"), *on), on)
     return pairs.where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)).select("u", "v")
 
@@ -189,20 +204,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null are never chosen unless a component has no other. Repeated rows come out as often as they went in. An empty table
     gives an empty one.
     """
-    prints = durable(fingerprints(docs.select(id_col, text_col), id_col, text_col), "fingerprints")
-    reps = durable(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = durable(fingerprints(rows, "id", "text"), "fingerprints")
+    reps = durable(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     found = links(reps.select("fp"), max_bits)
     if least is not None:
-        alike = similar(docs.select(text_col), text_col, width, least)
+        alike = similar(rows, "text", width, least)
         ends = alike.select(F.explode(F.array("th", "other")).alias("th")).distinct()
-        of_text = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).join(ends, "th").dropDuplicates(["th"])
+        of_text = rows.select(F.xxhash64("text").alias("th"), "text").join(ends, "th").dropDuplicates(["th"])
         of_text = durable(of_text.select("th", _fingerprints(whole("text")).alias("fp")), "ends")
         found = found.union(alike.join(of_text.toDF("th", "u"), "th").join(of_text.toDF("other", "v"), "other").select("u", "v"))
     groups = connected_components(found)
     joined = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("class_fp"))
     joined = durable(joined, "labelled")
     smallest = joined.groupBy("class_fp").agg(F.min("rep").alias("component_id"))
-    return prints.join(joined.join(smallest, "class_fp").select("fp", "class_fp", "component_id"), "fp").select(id_col, "fp", "class_fp", "component_id")
+    return prints.join(joined.join(smallest, "class_fp").select("fp", "class_fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "class_fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
@@ -210,9 +226,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     Rows equal in id and text count as one row.
     """
-    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    groups = near_duplicates(docs.select(key.alias("__key"), F.col(text_col)), "__key", text_col, least=least)
-    keep = groups.select(F.col("component_id").alias("k")).distinct().select(F.col("k.id").alias("__id"), F.col("k.h").alias("__kh"))
-    rows = docs.withColumn("__h", F.xxhash64(text_col))
-    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows["__h"] == keep["__kh"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__h"]).select(*docs.columns)
+    h = F.xxhash64(text_col)
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), h.alias("h"))
+    groups = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", least=least)
+    keep = groups.select(F.col("component_id").alias("k")).distinct().select(F.col("k.id").alias("id"), F.col("k.h").alias("h"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), h.alias("own"))
+    kept = rows.join(keep, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("h")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own"]).select(*unpacked(docs, {}))

@@ -11,12 +11,14 @@ The file format is a Parquet table (any store that Spark can write), a row for e
   a signed 32-bit displacement for each bucket, and for each of the n slots a 32-bit fingerprint of its key, the number of the
   key's first document and how many follow each other with this key, unsigned 32-bit each.
 
-A lookup reads the shards whose key range holds the key, hashes it to one slot and compares the fingerprint: constant time.
+A shard is a row group of its own, whose statistics hold its key range. A lookup finds the shards whose range holds a key by the heads
+alone, reads these shards only, hashes the key to one slot and compares the fingerprint: constant time.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +29,15 @@ from parcelflow.llm.common import whole
 
 #: Ids of a shard end after so many bytes, at the end of a document.
 SHARD_BYTES = 4 << 20
-#: Pieces of text whose ids a Python worker remembers, over all tasks it runs.
-CACHE = 1_000_000
+#: Pieces of text whose ids a Python worker remembers, over all tasks it runs, of at most so many characters.
+CACHE, LONG = 1_000_000, 64
+#: So many shards are asked for by a filter that the scan can use, more by a join.
+FEW = 500
+#: The settings of a tokenizer whose texts may be encoded part by part.
+BY_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 SHARDS = "part int, seq int, n_docs int, n_tokens long, width int, first_key long, last_key long, ids binary, offsets binary, keys array<long>, index binary"
 
 
@@ -38,14 +47,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+MARKS = ",.;:!?"
+
+
 class Encoder:
-    """Ids of whole texts. This tokenizer drops white space and never looks past it, so a text's ids are those of its parts between
-    spaces, tabs and line ends, in order; parts seen before are not encoded again. A new part is cut before the marks it ends
-    in, where the tokenizer itself starts another word. What remains and is letters only is one word to it, whose last id is
-    one that ends words: such parts are encoded many at a time and told apart by that.
+    """Ids of whole texts. A tokenizer with the settings BY_PARTS and words ending in </w> drops white space and never looks past it, so
+    a text's ids are those of its parts between spaces, tabs and line ends, in order; parts seen before are not encoded again. A new
+    part is cut before the marks it ends in, where the tokenizer itself starts another word. What remains and is letters only is one
+    word to it, whose last id is one that ends words: such parts are encoded many at a time and told apart by that. Any other
+    tokenizer encodes whole texts plainly.
 
-    Parts are remembered in two generations of at most CACHE / 2 each (and what one call adds): when the newer is full it becomes
-    the older, whose parts move back as they are met, so those in use stay known."""
+    Parts of at most LONG characters are remembered, in two generations of at most CACHE / 2 each (and what one call adds): when the
+    newer is full it becomes the older, whose parts move back as they are met, so those in use stay known."""
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -55,6 +68,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {"": b""}, {}
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        model = told.get("model", {})
+        self.by_parts = all(told.get(k) == v for k, v in BY_PARTS.items()) and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>"
+        self.by_parts &= not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+        self.by_parts &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in told.get("added_tokens", []))
         vocab = self.tokenizer.get_vocab()
         self.width = 2 if max(len(vocab), *vocab.values(), end_id) < 1 << 16 else 4
         self.kind, self.end = np.dtype(f"<u{self.width}"), end_id.to_bytes(self.width, "little")
@@ -74,7 +93,7 @@ class Encoder:
         self.cache.update((x, self.older[x]) for x in known)
         cut = {}
         for x in parts - known:
-            y = x.rstrip(",.;:!?")
+            y = x.rstrip(MARKS)
             cut[x] = (y, x[len(y) :]) if y and len(y) < len(x) and y[-1].isalnum() else (x, "")
         new = {y for pair in cut.values() for y in pair if y not in self.cache}
         letters = [y for y in new if y.isalpha()]
@@ -96,6 +115,11 @@ class Encoder:
                 self.cache[x] = self.cache[y] + self.cache[z]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_parts:
+            import numpy as np
+
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(x.ids, self.kind).tobytes() + self.end for x in found]
         if len(self.cache) > CACHE // 2:
             self.cache, self.older = {"": b""}, self.cache
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -103,7 +127,12 @@ class Encoder:
         if new:
             self.learn(new)
         get = self.cache.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in parts]
+        out = [b"".join(map(get, p)) + self.end for p in parts]
+        for x in new:
+            if len(x) > LONG:
+                self.cache.pop(x, None)
+                self.cache.pop(x.rstrip(MARKS), None)
+        return out
 
 
 @functools.lru_cache(1)
@@ -214,7 +243,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     rows = docs.select(F.col(id_col).cast("long").alias("key"), whole(text_col).alias("text"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.mapInArrow(shards, SHARDS).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    rows = rows.mapInArrow(shards, SHARDS)
+    rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(path)
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
@@ -228,7 +258,8 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(key, start, n_tokens, ids_crc32): every document, from the files. start counts the ids of all documents before it; the CRC is of
-    the document's ids as little-endian unsigned 32-bit integers. The index is held against the keys on the way."""
+    the document's ids as little-endian unsigned 32-bit integers. Documents with a key are found through the index, those without
+    one, which come first, by order."""
 
     def documents(batches):
         import numpy as np
@@ -237,16 +268,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 offsets, width, ids = np.frombuffer(row["offsets"], "<u8").astype(np.int64), row["width"], row["ids"]
-                if row["keys"]:
-                    known = [(k, i) for i, k in enumerate(row["keys"]) if k is not None]
-                    first, run = find_in_index(row["index"], [k for k, _ in known])
-                    if any(not f <= i < f + n for (_, i), f, n in zip(known, first, run)):
-                        raise ValueError(f"shard {row['part']}-{row['seq']}: the index and the keys differ")
-                for a in range(0, len(row["keys"]), 512):
-                    b = min(a + 512, len(row["keys"]))
-                    some = [np.frombuffer(ids, f"<u{width}", offsets[i + 1] - offsets[i], offsets[i] * width).astype("<u4") for i in range(a, b)]
+                keys = np.unique(np.array([k for k in row["keys"] if k is not None], np.int64))
+                first, run = find_in_index(row["index"], keys)
+                bare = row["keys"].count(None)
+                at = np.concatenate((np.arange(bare), np.repeat(first - np.cumsum(run) + run, run) + np.arange(run.sum())))
+                key = [None] * bare + np.repeat(keys, run).tolist()
+                if len(at) != len(row["keys"]) or (np.sort(at) != np.arange(len(at))).any():
+                    raise ValueError(f"shard {row['part']}-{row['seq']}: the index and the keys differ")
+                for a in range(0, len(at), 512):
+                    here = at[a : a + 512]
+                    sizes = offsets[here + 1] - offsets[here]
+                    some = [np.frombuffer(ids, f"<u{width}", n, offset * width).astype("<u4") for n, offset in zip(sizes.tolist(), offsets[here].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["part"]] * (b - a), pa.int32()), pa.array([row["seq"]] * (b - a), pa.int32()), pa.array(row["keys"][a:b], pa.int64()), pa.array(offsets[a:b], pa.int64()), pa.array(np.diff(offsets[a : b + 1]), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in some], pa.int64())],
+                        [pa.array([row["part"]] * len(here), pa.int32()), pa.array([row["seq"]] * len(here), pa.int32()), pa.array(key[a : a + 512], pa.int64()), pa.array(offsets[here], pa.int64()), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in some], pa.int64())],
                         ["part", "seq", "key", "at", "n_tokens", "crc32"],
                     )
 
@@ -272,5 +306,15 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
                     out += [(k, np.frombuffer(row["ids"], f"<u{row['width']}", offsets[i + 1] - offsets[i], offsets[i] * row["width"])) for i in range(f, f + n)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x.astype(np.int64) for _, x in out], pa.list_(pa.int64()))], ["key", "ids"])
 
-    shards = spark.read.parquet(path).where((F.col("first_key") <= (keys[-1] if keys else 0)) & (F.col("last_key") >= (keys[0] if keys else 0)))
+    table = spark.read.parquet(path)
+    near = F.exists(F.array(*[F.lit(k).cast("long") for k in keys] or [F.lit(None).cast("long")]), lambda k: k.between(F.col("first_key"), F.col("last_key")))
+    heads = table.select("part", "seq", "first_key", "last_key").where(near).select("part", "seq")
+    wanted = heads.limit(FEW + 1).collect()
+    if len(wanted) <= FEW:
+        one_of = F.lit(False)
+        for r in wanted:
+            one_of = one_of | ((F.col("part") == r["part"]) & (F.col("seq") == r["seq"]))
+        shards = table.where(one_of)
+    else:
+        shards = table.join(heads, ["part", "seq"], "left_semi")
     return shards.select("first_key", "last_key", "width", "ids", "offsets", "index").mapInArrow(found, "key long, ids array<long>")

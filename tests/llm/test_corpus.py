@@ -59,28 +59,88 @@ def test_packing(spark):
     assert len(packing.pack(sizes, (8192,))[2]) == len(rooms)
 
 
+def price(bins):
+    return sum(packing.cost(x) for x in bins)
+
+
+def test_packing_sizes_jointly():
+    r = random.Random(13)
+    cases = [[600] * 1000, [1100] * 1000, [520] * 100, [1] * 5000, [8192] * 5, [5000, 3000] * 50, [r.choice([600, 1100, 3000, 90]) for _ in range(700)], [min(8192, int(r.lognormvariate(6, 1.3)) + 1) for _ in range(4000)]]
+    for sizes in cases:
+        one = [price(packing.pack(sizes, (s,))[2]) for s in packing.SIZES if s >= max(sizes)]
+        assert price(packing.pack(sizes)[2]) <= min(one) + 1e-6
+    assert price(packing.pack([600] * 1000)[2]) <= 709_680 and price(packing.pack([1100] * 1000)[2]) <= 1_320_176
+
+
+def test_packing_against_all_partitions():
+    sizes = (8, 16, 32)
+    fee = lambda n: packing.cost(next(s for s in sizes if s >= n), sizes)
+    r, ratios = random.Random(14), []
+    for _ in range(150):
+        items = [r.randint(1, 32) for _ in range(r.randint(1, 8))]
+        full = (1 << len(items)) - 1
+        total = [sum(x for k, x in enumerate(items) if m >> k & 1) for m in range(full + 1)]
+        best = [0.0] + [float("inf")] * full
+        for m in range(1, full + 1):
+            sub, low = m, m & -m
+            while sub:
+                if sub & low and total[sub] <= 32:
+                    best[m] = min(best[m], best[m ^ sub] + fee(total[sub]))
+                sub = (sub - 1) & m
+        ratios.append(sum(packing.cost(b, sizes) for b in packing.pack(items, sizes)[2]) / best[full])
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) <= 1.25 and sum(x < 1 + 1e-9 for x in ratios) >= 90
+
+
+def token_ids(rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary())
+    found = [t.encode(r[1] or "", add_special_tokens=False).ids for r in rows]
+    return [[*x, 2] if x else [] for x in found]
+
+
 def test_packing_documents(spark):
     rows = awkward() + [(600, "w " * 20_000, None, None, None, None, None)]
-    got = packing.pack_documents(table(spark, rows), sizes=(8, 64, 512)).collect()
-    words = Counter()
+    docs = table(spark, rows).withColumn("row", F.lit("own")).withColumn("size", F.lit(-1)).withColumn("bin", F.lit(0))
+    got = packing.pack_documents(docs, sizes=(8, 64, 512)).collect()
+    size = Counter()
     for g in got:
-        words[g["doc_id"]] += g["n_words"]
-        assert (g["bin"] is None) == (g["n_words"] == 0) and g["n_words"] <= 512
+        size[g["doc_id"]] += g["n_tokens"]
+        assert (g["bin"] is None) == (g["n_tokens"] == 0) and g["n_tokens"] <= 512
     want = Counter()
-    for r in rows:
-        want[r[0]] += len(WORD.findall(r[1] or ""))
-    assert words == want and len({g["doc_id"] for g in got}) == len({r[0] for r in rows})
+    for r, ids in zip(rows, token_ids(rows)):
+        want[r[0]] += len(ids)
+    assert size == want and len({g["doc_id"] for g in got}) == len({r[0] for r in rows})
     bins = defaultdict(list)
     for g in got:
         if g["bin"] is not None:
             bins[g["bin"]].append(g)
     for b in bins.values():
-        assert sum(g["n_words"] for g in b) == b[0]["bin_words"] <= b[0]["bin_size"]
-        spans = sorted((g["offset"], g["n_words"]) for g in b)
+        assert sum(g["n_tokens"] for g in b) == b[0]["bin_tokens"] <= b[0]["bin_size"]
+        spans = sorted((g["offset"], g["n_tokens"]) for g in b)
         assert all(a + n == c for (a, n), (c, _) in zip(spans, spans[1:])) and spans[0][0] == 0
     assert packing.pack_documents(table(spark, [])).count() == 0
 
 
+def test_packed_sequences_hold_every_id(spark):
+    rows = [(k, *r[1:]) for k, r in enumerate(awkward())]
+    got = packing.sequences(table(spark, rows), sizes=(64, 512)).collect()
+    pieces = defaultdict(list)
+    for g in got:
+        assert len(g["ids"]) <= g["bin_size"]
+        for d, a, b in zip(g["doc_ids"], g["starts"], [*g["starts"][1:], len(g["ids"])]):
+            pieces[d].append(tuple(g["ids"][a:b]))
+    for k, ids in enumerate(token_ids(rows)):
+        assert Counter(pieces[k]) == Counter(tuple(ids[a : a + 512]) for a in range(0, len(ids), 512))
+    assert packing.sequences(table(spark, [])).count() == 0
+
+
+def test_packing_deals_equal_rows_over_groups(spark):
+    rows = spark.range(20_000).selectExpr("id AS row", "7L AS id", "600L AS size")
+    got = packing.layout(rows).selectExpr("bin >> 32 AS g").groupBy("g").count().collect()
+    assert len(got) >= 5 and max(r["count"] for r in got) < 2 * packing.GROUP and sum(r["count"] for r in got) == 20_000
+
+
 def slow_targets(sizes):
     out, left, free = {}, 1.5 * sum(sizes), [i for i, s in enumerate(sizes) if s]
     while free:
@@ -175,6 +235,37 @@ def test_token_files(spark, tmp_path):
     assert tokens.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_lookup_reads_two_shards_for_two_far_keys(spark, tmp_path):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('some words of text ', id, ' and more of them') AS text")
+    tokens.write(docs, str(tmp_path / "t"), shard_bytes=200)
+    assert tokens.directory(spark, str(tmp_path / "t")).count() > 40
+    found = tokens.lookup(spark, str(tmp_path / "t"), [0, 399])
+    plan = found._jdf.queryExecution().executedPlan()
+    assert plan.executeCollectPublic is not None
+    found._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    assert sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size())) == 2
+    assert sorted(r["key"] for r in found.collect()) == [0, 399]
+
+
+def test_other_tokenizers_encode_plainly():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), tokens.Encoder(path, 2)
+    texts = ["a  b\n c don't", "", "é  ", " x"]
+    assert not e.by_parts and tokens.Encoder(tokens.vocabulary(), 2).by_parts
+    assert [np.frombuffer(x, e.kind).tolist() for x in e(texts)] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
+def test_long_parts_are_not_remembered():
+    e = tokens.Encoder(tokens.vocabulary(), 2)
+    long = [("x" * n) + end for n in (100, 5000) for end in ("", "!!", "1")]
+    first = e([*long, "short words"])
+    assert e([*long, "short words"]) == first and not any(len(x) > tokens.LONG for x in e.cache)
+
+
 def test_perfect_hash_is_minimal():
     for n in (0, 1, 2, 3, 50, 2000):
         keys = random.Random(n).sample(range(-(10**12), 10**12), n)
@@ -206,6 +297,34 @@ def test_sharding(spark, limit):
     assert sharding.shards(table(spark, [])).count() == 0
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = awkward() + [(800, "same text of some length", None, None, None, None, None)] * 30
+    docs = table(spark, rows).withColumn("path", F.lit("p")).withColumn("depth", F.lit(3))
+    sharding.write(docs, str(tmp_path / "s"), limit=1500)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert plain(back.select(*docs.columns).collect()) == plain(docs.collect())
+    size = defaultdict(list)
+    for r in back.selectExpr("_metadata.file_path AS f", "shard", "page", "octet_length(coalesce(text, '')) AS n").collect():
+        size[r["shard"], r["page"]].append((r["f"], r["n"]))
+    assert all(len({f for f, _ in x}) == 1 and (sum(n for _, n in x) <= 1500 or len(x) == 1) for x in size.values())
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Operators that return the columns of docs, with every name they use inside."""
+    from parcelflow.llm import langid, line_dedup, quality, simhash
+
+    rows = [(r[0], r[1], r[2], r[3], r[4]) for r in awkward(4) if r[0] is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = "id th h own own_id doc fp key rep node component cut near pos line rows copy copies spans size number start block low high skip part whole f at stratum of_stratum cutoff kept base_failed p n_words path row leaf h1 h2 halves k v t all first chunk order".split()
+    wide = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names], F.lit(1).alias("__h"), F.lit(2).alias("__id"), F.lit(3).alias("__text"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for f in (simhash.keep_one, line_dedup.keep_lines, lambda d: mixing.mixed(d, n_chars_col="n_chars"), lambda d: quality.keep_good(d, labels), lambda d: langid.identify(d, {}).drop("lang_pred", "score"), lambda d: line_dedup.dedup_lines(d).drop("n_lines", "n_dropped", "n_near")):
+        got = f(wide)
+        assert got.columns == wide.columns
+        assert plain(got.select(*docs.columns).collect()) == plain(f(docs).select(*docs.columns).collect())
+        assert {tuple(r) for r in got.select(*names, "__h", "__id", "__text").collect()} == {(*[f"own {n}" for n in names], 1, 2, 3)}
+
+
 def test_vectors(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(1500, 16))
@@ -247,6 +366,53 @@ def test_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def check_links(spark, x, audit):
+    """Against all pairs: no link counted that is none, both ends counted, nothing linked without a count."""
+    s = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = s @ s.T >= 0.9
+    np.fill_diagonal(s, False)
+    out = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), audit=audit).collect()
+    got, group = np.zeros(len(x), int), np.zeros(len(x), int)
+    for r in out:
+        got[r["vec_id"]], group[r["vec_id"]] = r["n_links"], r["component_id"]
+        assert r["kept"] == (r["vec_id"] == r["component_id"])
+    want, size = s.sum(1), np.bincount(group, minlength=len(x))
+    assert (got <= want).all() and not ((got == 0) & (size[group] > 1)).any() and not ((got > 0) & (size[group] == 1)).any()
+    has = want > 0
+    assert (got[has] / want[has]).mean() >= 0.95 and got.sum() >= 0.97 * want.sum() and got.sum() % 2 == 0
+    assert audit[-1]["per_query"] >= vectors.RECALL and audit[-1]["pooled"] >= vectors.RECALL
+
+
+@pytest.mark.parametrize("most", [512, 6])
+def test_vector_links_count_at_both_ends(spark, monkeypatch, most):
+    """Over 64 leaves, as one list of centroids and as a tree of them."""
+    for name, value in {"CLUSTER": 30, "SHARD": 90, "MAX_CLUSTERS": most}.items():
+        monkeypatch.setattr(vectors, name, value)
+    r = np.random.default_rng(21)
+    x = r.normal(size=(3000, 16))
+    x[:500] = x[0] + 0.3 * r.normal(size=(500, 16))
+    x[1000:1900] = np.repeat(x[2000:2300], 3, axis=0) + 0.25 * r.normal(size=(900, 16))
+    audit = []
+    check_links(spark, x, audit)
+
+
+def test_deciding_takes_each_meeting_once():
+    """Of all meetings of two nodes, exactly one decides."""
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        near = [r.permutation(7)[:4] for _ in range(2)]
+        routes = int(r.integers(1, 5))
+        for all_leaves in (False, True):
+            n = 0
+            for q, x in ((0, 1), (1, 0)):
+                for c in near[x][:2]:
+                    if all_leaves or c in near[q][:routes]:
+                        asks = (None, None) if all_leaves else (near[q][None, :routes], near[x][None, :routes])
+                        n += vectors.deciding(c, np.array([q]), np.array([x]), near[q][None, :2], near[x][None, :2], *asks)[0]
+            meet = all_leaves or bool({*near[1][:2]} & {*near[0][:routes]} or {*near[0][:2]} & {*near[1][:routes]})
+            assert n == meet
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against brute force on what the stage before has kept."""
     rows = [r for r in awkward(9) if r[0] is not None]
@@ -274,7 +440,7 @@ def test_pipeline(spark, tmp_path):
     mix = stage["mix_sources"](spark, lone, folder)
     assert mix.columns == docs.columns and {r[0] for r in mix.collect()} <= {r[0] for r in lone.collect()}
     packed = stage["best_fit_packing"](spark, mix, folder).collect()
-    assert sum(p["n_words"] for p in packed) == sum(len(WORD.findall(r["text"])) for r in mix.collect())
+    assert sum(p["n_tokens"] for p in packed) == sum(map(len, token_ids([(0, r["text"]) for r in mix.collect()])))
     assert len(corpus_pipeline.run(spark, folder).collect()) == len(packed)
 
 

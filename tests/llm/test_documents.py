@@ -93,15 +93,15 @@ def edits(a, b):
     return row[-1]
 
 
-def slow_lines(rows, least):
+def slow_lines(rows, near_chars):
     # rows equal in id and text come out alike
     docs = sorted({(r[0], r[1]) for r in rows}, key=lambda d: (d[0] is not None, d[0] or 0))
     seen, drop = [], {}
     for d in docs:
         for k, line in enumerate((d[1] or "").split("\n")):
-            if len(line) >= least and WORD.search(line):
+            if WORD.search(line):
                 equal = line in seen
-                near = equal or any(abs(len(line) - len(s)) < 2 and edits(line, s) <= 1 for s in seen if s[: len(line) // 2] == line[: len(line) // 2] or s[-(len(line) // 3) :] == line[-(len(line) // 3) :])
+                near = equal or len(line) >= near_chars and any(len(s) >= near_chars and abs(len(line) - len(s)) < 2 and edits(line, s) <= 1 for s in seen if s[: len(line) // 2] == line[: len(line) // 2] or s[-(len(line) // 3) :] == line[-(len(line) // 3) :])
                 if near:
                     drop.setdefault(d, {})[k] = equal
                 seen.append(line)
@@ -113,14 +113,14 @@ def test_line_dedup(spark):
     base = "a line that is long enough to take part in it all"
     rows += [(400, base + "\n" + base[:-1] + "\nshort\nshort", None, None, None, None, None), (401, base[:9] + "X" + base[10:] + "\n" + base[:9] + "Y" + base[9:], None, None, None, None, None), (402, "z" * 200 + "\n" + "z" * 201 + "\n" + "z" * 64 + "q" + "z" * 136, None, None, None, None, None)]
     docs = table(spark, rows)
-    drop = slow_lines(rows, line_dedup.MIN_CHARS)
+    drop = slow_lines(rows, line_dedup.NEAR_CHARS)
     want = []
     for r in rows:
         gone = drop.get((r[0], r[1]), {})
         lines = None if r[1] is None else r[1].split("\n")
         text = None if lines is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
         want.append((r[0], text, 0 if lines is None else len(lines), len(gone), sum(not e for e in gone.values())))
-    assert any(w[4] for w in want)
+    assert any(w[4] for w in want) and any("short" in (x or "") and n for _, x, _, n, _ in want)
     got = line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped", "n_near")
     assert plain(got.collect()) == plain(want)
     assert line_dedup.dedup_lines(docs).columns[: len(docs.columns)] == docs.columns
@@ -129,6 +129,31 @@ def test_line_dedup(spark):
     assert everything.count() == len(awkward(3))
 
 
+def test_line_dedup_equals_its_sql(spark, tmp_path):
+    """Many near lines, against the registered SQL."""
+    import random
+
+    import duckdb
+
+    from parcelflow.llm import oracles
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(2, 8)))
+    base = [" ".join(word() for _ in range(r.randint(2, 12))) for _ in range(80)] + ["no", "yes", "a b"]
+
+    def line():
+        t = r.choice(base)
+        at = r.randrange(len(t))
+        return r.choice([t, t[:at] + "z" + t[at + 1 :], t[:at] + t[at + 1 :], t[:at] + "q" + t[at:], ""])
+
+    rows = [(i, "\n".join(line() for _ in range(r.randint(1, 6)))) for i in range(150)] + [(900, None), (901, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_line_dedup(spark, str(tmp_path)).collect()
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(oracles.line_dedup_sql()).fetchall()
+    assert plain(got) == plain(want) and sum(x["n_near"] for x in got) >= 50
+
+
 def test_secrets(spark):
     key = "AKIA" + "Q" * 16
     texts = ['password = "hunter22"', "é token:abc api-key", f"é {key} and API_KEY=deadbeefdeadbeefdeadbeef00", "token: token: abcdefgh", f"{key[:19]}", "a" * 23 + " " + "a" * 24, None, "", f"{key} {key}", "x" * 200_000 + " secret=abcdefg"]
@@ -154,14 +179,27 @@ def test_secrets(spark):
     other = secrets.BASE[:1]
     assert secrets.scan(docs, ledger2, rules=other)[1].count() == 2 * ledger.count() + 1
     assert secrets.scan(table(spark, []))[0].count() == 0
+    found, ledger3, scanned = secrets.scan_in_instalments(docs, 3)
+    assert plain(secrets.digest(found).drop("spans").collect()) == plain(want)
+    assert sum(scanned) == ledger3.count() == len({t or "" for t in texts})
+    found, _, scanned = secrets.scan_in_instalments(docs, 2, ledger3)
+    assert scanned == [0, 0] and found.count() == len(rows)
     pem = secrets.find("-----BEGIN RSA PRIVATE KEY-----")
     assert pem == [(0, 3, 31)]
 
 
+def test_secrets_of_a_text_in_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "OFTEN", 20)
+    docs = spark.range(500).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'secret=abcdefgh' ELSE concat('token: xyz', id, 'abcd') END AS text")
+    got = secrets.digest(secrets.scan(docs)[0]).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(500)) and all(r["n_assign"] == 1 for r in got)
+
+
 def test_language_grams_agree_over_pieces(monkeypatch):
     text = "Abc dé, fgh! " * 50
     x, n = langid.grams(text)
-    line = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    line = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    line = re.sub(" +", " ", line)
     want = Counter(c for c in line if c != " ") + Counter(zip(line, line[1:])) + Counter(zip(line, line[1:], line[2:]))
     code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
     assert dict(zip(x.tolist(), n.tolist())) == {code(g): v for g, v in want.items()}
@@ -171,6 +209,34 @@ def test_language_grams_agree_over_pieces(monkeypatch):
         assert (x == y).all() and (n == m).all()
 
 
+def slow_language(profiles, text):
+    """The out-of-place distance, written out."""
+    line = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()) + " "
+    if not line.strip():
+        return "und"
+    n = Counter(c for c in line if c != " ") + Counter(line[i : i + 2] for i in range(len(line) - 1)) + Counter(line[i : i + 3] for i in range(len(line) - 2))
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    mine = sorted((-v, code(g)) for g, v in n.items())[: langid.TOP]
+    away = {lang: sum(abs(ranks.index(c) - i) if c in ranks else langid.TOP for i, (_, c) in enumerate(mine)) for lang, ranks in profiles.items()}
+    return min(away, key=lambda x: (away[x], x))
+
+
+def test_language_agrees_with_the_slow_predictor(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    profiles = langid.fit(docs)
+    predict = langid.predictor(profiles)
+    texts = [r["text"] for r in docs.select("text").collect()] + [r[1] for r in awkward()] + ["½ ² ③", "Ⅷ 12 _", "½ and ³ Maße", "x"]
+    assert [predict(t)[0] for t in texts] == [slow_language(profiles, t) for t in texts]
+    assert predict("½ ² ③") == ("und", 0.0) == predict("Ⅷ 12 _")
+    # the codes and counts of a profile, from the sampled texts themselves
+    few = docs.where("lang = 'fr'")
+    n = Counter()
+    for r in few.collect():
+        x, m = langid.grams(r["text"])
+        n.update(dict(zip(x.tolist(), m.tolist())))
+    assert langid.fit(few)["fr"] == [c for _, c in sorted((-v, c) for c, v in n.items())[: langid.TOP]]
+
+
 def test_language(spark):
     got = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert len(got) == 1000
@@ -180,7 +246,7 @@ def test_language(spark):
     docs = table(spark, awkward())
     profiles = langid.fit(docs)
     rows = langid.identify(docs, profiles).collect()
-    assert len(rows) == docs.count() and {r["lang_pred"] for r in rows if r["text"] is None or not re.search(r"[^\W\d_]", r["text"])} == {"und"}
+    assert len(rows) == docs.count() and {r["lang_pred"] for r in rows if not any(map(str.isalpha, r["text"] or ""))} == {"und"}
     assert langid.identify(docs, {}).select("lang_pred").distinct().collect()[0][0] == "und"
     assert langid.fit(table(spark, [])) == {}
 
@@ -226,3 +292,40 @@ def test_quality_cutoffs(spark):
     kept = quality.keep_good(docs, labels, risk=0.1, delta=0.1)
     assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i, x in got.items() if x["kept"])
     assert quality.score(docs.where("false"), labels).count() == 0
+
+
+def test_quality_equals_its_sql_where_the_method_acts(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from parcelflow.llm import oracles
+
+    r = random.Random(6)
+    plainly = lambda i: f"Some words {i} of text number {r.random()} that say little more and end here in the row {r.random()}"
+    rows = [(i, plainly(i) + (" # | #" * r.choice([0, 0, 1]) if i % 300 == 0 else ""), r.choice(["en", "de", None])) for i in range(1200)]
+    rows += [(2000 + i, plainly(i) + "".join(f" |#|{r.random()}!" for _ in range(r.randint(1, 12))), r.choice(["en", "de", None])) for i in range(150)] + [(3000, None, None), (3001, "", "xx")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i < 2000), 0) for i, *_ in rows if i % 4]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op10_quality(spark, str(tmp_path))
+    for name in ("documents", "labels"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duckdb.sql(oracles.oracle_sql()["op10_quality"])
+    assert plain(got.select(*want.columns).collect()) == plain(want.fetchall())
+    assert sum(not x["kept"] and not x["base_failed"] for x in got.collect()) > 50
+
+
+def test_quality_false_rejections_stay_within_the_risk(spark):
+    """Strata drawn 150 times from a known law: the admitted cutoff may reject over `risk` of good documents in a share of delta of them."""
+    import numpy as np
+
+    r, risk, delta, rows = np.random.default_rng(11), 0.05, 0.1, []
+    for k in range(150):
+        # in good documents the score falls off so that each cutoff of the grid has its own true rate of false rejections
+        for good, n, mean in ((True, 300, 30), (False, 60, 900)):
+            rows += [(str(k), good, 100, 1000, int(v), 0, 0, 1, 0, 0) for v in r.exponential(mean * 0.2, n)]
+    labelled = spark.createDataFrame(rows, "stratum string, good boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_marks long")
+    got = quality.thresholds(labelled, risk, delta * 150).collect()  # each stratum at level delta
+    true = lambda cutoff: math.exp(-((cutoff // 5 + 1)) / 6)  # noqa: E731  symbols are 20 permille for 100
+    assert len(got) >= 100 and sum(true(x["cutoff"]) > risk for x in got) <= delta * 150 + 3 * math.sqrt(delta * 150)
