@@ -99,6 +99,117 @@ def clip(a: Column, b: Column, box: Column) -> Column:
     return F.when(~outside & (enter <= leave), F.struct(point(enter).alias("a"), point(leave).alias("b")))
 
 
+def envelope(minx, miny, maxx, maxy) -> Column:
+    """A box from four numbers or columns."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    return F.struct(*[lit(v).cast("double").alias(n) for n, v in zip(("minx", "miny", "maxx", "maxy"), (minx, miny, maxx, maxy))])
+
+
+def srid_ok(srid: Column) -> Column:
+    """The two systems that submissions may come in."""
+    return F.coalesce(srid.isin(4326, 5179), F.lit(False))
+
+
+# A polygon is an array of closed rings, the outer one first, then its holes; several parts are an array of polygons.
+
+POLYGON = "array<array<struct<x:double,y:double>>>"
+
+
+def polygon_area(polygon: Column) -> Column:
+    """The outer ring's area less the holes'; 0 without rings."""
+    sizes = F.transform(polygon, area)
+    return F.aggregate(sizes, F.lit(0.0), lambda s, x: s - x, lambda s: F.coalesce(s + 2 * F.get(sizes, F.lit(0)), F.lit(0.0)))
+
+
+def multi(polygon: Column) -> Column:
+    """A polygon as one of several parts; null stays null, no rings are no parts."""
+    return F.when(F.size(polygon) > 0, F.array(polygon)).when(polygon.isNotNull(), F.array().cast(f"array<{POLYGON}>"))
+
+
+def multi_area(parts: Column) -> Column:
+    return F.aggregate(F.transform(parts, polygon_area), F.lit(0.0), lambda s, x: s + x)
+
+
+def vertices(parts: Column) -> Column:
+    """All vertices of all rings, holes included."""
+    return F.flatten(F.flatten(parts))
+
+
+def on_edge(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies on a closed ring's edges."""
+    def on(a: Column, b: Column) -> Column:
+        cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+        between = x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        return ((cross == 0) & between).cast("double")
+
+    return _edges(ring, on) > 0
+
+
+def covers(polygon: Column, x: Column, y: Column) -> Column:
+    """Whether a polygon meets a point: inside the outer ring and no hole, or on any edge."""
+    inside = F.aggregate(F.transform(polygon, lambda r: contains(r, x, y).cast("int")), F.lit(0), lambda s, v: s + v)
+    return (inside % 2 == 1) | F.exists(polygon, lambda r: on_edge(r, x, y))
+
+
+def meets_box(polygon: Column, box: Column) -> Column:
+    """Whether a polygon and a box share a point: an edge runs into the box, or the box's corner lies in the polygon."""
+    def edge_inside(ring: Column) -> Column:
+        n = F.size(ring)
+        ends = F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.exists(ends, lambda e: clip(e["a"], e["b"], box).isNotNull())
+
+    return F.exists(polygon, edge_inside) | covers(polygon, box["minx"], box["miny"])
+
+
+def crosses_itself(ring: Column) -> Column:
+    """Whether two edges of a closed ring cross at a point inside both: such rings need repair and are set apart. Edges are held
+    against each other in the row, so this is for rings of some thousand vertices."""
+    n = F.size(ring)
+    edges = F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    side = lambda e, p: (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"])
+    cross = lambda e, f: (side(e, f["a"]) * side(e, f["b"]) < 0) & (side(f, e["a"]) * side(f, e["b"]) < 0)
+    return F.transform(F.array(edges), lambda es: F.exists(es, lambda e: F.exists(es, lambda f: cross(e, f))))[0]
+
+
+def union_of_parts(parts: str) -> Column:
+    """Aggregate: polygons of a group as one shape of several parts. Exact for parts that do not overlap, as rows of one code are."""
+    return F.flatten(F.collect_list(F.col(parts)))
+
+
+def rounded(parts: Column, digits: int) -> Column:
+    return F.transform(parts, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))))
+
+
+def from_geojson(text: Column) -> Column:
+    """The polygons of a GeoJSON geometry: those of a Polygon, a MultiPolygon or a GeometryCollection of them; lines and points are
+    left out (empty array). Null for null or another text."""
+    ring = "array<array<double>>"
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    shape = lambda parts: F.transform(parts, lambda polygon: F.transform(polygon, lambda r: F.transform(r, point)))
+    empty = F.array().cast(f"array<{POLYGON}>")
+
+    def of(kind: Column, coordinates: Column) -> Column:
+        one = F.array(F.from_json(coordinates, f"array<{ring}>"))
+        many = F.from_json(coordinates, f"array<array<{ring}>>")
+        return F.when(kind == "Polygon", shape(one)).when(kind == "MultiPolygon", shape(many)).when(kind.isNotNull(), empty)
+
+    members = F.from_json(F.get_json_object(text, "$.geometries"), "array<string>")
+    collected = F.flatten(F.transform(members, lambda m: of(F.get_json_object(m, "$.type"), F.get_json_object(m, "$.coordinates"))))
+    kind = F.get_json_object(text, "$.type")
+    return F.when(kind == "GeometryCollection", F.coalesce(collected, empty)).otherwise(of(kind, F.get_json_object(text, "$.coordinates")))
+
+
+def to_geojson(parts: Column) -> Column:
+    """A MultiPolygon as GeoJSON text; null for no parts."""
+    coordinates = F.transform(parts, lambda polygon: F.transform(polygon, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    return F.when(F.size(parts) > 0, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates"))))
+
+
+def projected(parts: Column) -> Column:
+    """All vertices from longitude and latitude to metres."""
+    return F.transform(parts, lambda polygon: F.transform(polygon, lambda r: F.transform(r, lambda p: project(p["x"], p["y"]))))
+
+
 #: GRS80, and the parameters of the projected system.
 A, FLAT, LON0, LAT0, K0, FE, FN = 6378137.0, 1 / 298.257222101, 127.5, 38.0, 0.9996, 1_000_000.0, 2_000_000.0
 _N = FLAT / (2 - FLAT)

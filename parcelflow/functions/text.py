@@ -30,6 +30,30 @@ def repair_variants(run: Column) -> Column:
     return F.array_distinct(F.when(n == 7, inserted).when(n == 8, F.array(run)).when(n == 9, deleted).otherwise(F.array().cast("array<string>")))
 
 
+def fuzzy_variants(run: Column) -> Column:
+    """Codes that a run of digits may stand for: 7 digits get one inserted, 8 are kept or have one replaced, 9 lose one, 10 and 11 are
+    cut into windows."""
+    ten = F.array(*[F.lit(str(d)) for d in range(10)])
+    replaced = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(ten, lambda d: F.concat(F.substring(run, F.lit(1), i), d, F.substring(run, i + 2, F.lit(8))))))
+    n = F.length(run)
+    return F.array_distinct(F.when(n == 8, replaced).when(n.between(10, 11), code_windows(run)).otherwise(repair_variants(run)))
+
+
+def paren_runs(c: Column) -> Column:
+    """Digits in parentheses, blanks removed."""
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\(\s*([\d\s]+?)\s*\)"), F.lit(1)), lambda s: F.regexp_replace(s, r"\s", ""))
+
+
+def named_paren_runs(c: Column) -> Column:
+    """The same right behind a Hangul name."""
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[가-힣][가-힣\s]*\(\s*([\d\s]+?)\s*\)"), F.lit(1)), lambda s: F.regexp_replace(s, r"\s", ""))
+
+
+def digit_runs(c: Column) -> Column:
+    """Runs of 7 to 11 digits."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d{7,11}"), F.lit(0))
+
+
 def paren_code(c: Column) -> Column:
     return F.regexp_extract(c, r"\((\d{8})\)", 1)
 
@@ -39,10 +63,16 @@ def first_tier(*tiers: Column) -> Column:
     return F.coalesce(*[F.when(F.size(t) > 0, t) for t in tiers])
 
 
-def sheet_id(c: Column) -> Column:
-    """`prefix-last digit` of a token, confusions mended."""
+def sheet_id(c: Column, valid: Column | None = None) -> Column:
+    """`first digit-last digit` of a token, confusions mended. If all valid sheets (an array) share a prefix, it is taken for the first
+    digit; a sheet that is not valid is null."""
     d = digits(c)
-    return F.when(F.length(d) >= 2, F.concat(F.substring(d, F.lit(1), F.length(d) - 1), F.lit("-"), F.substring(d, -1, 1)))
+    first = F.substring(d, 1, 1)
+    if valid is not None:
+        prefixes = F.array_distinct(F.transform(F.filter(valid, lambda s: s.contains("-")), lambda s: F.substring_index(s, "-", 1)))
+        first = F.when(F.size(prefixes) == 1, F.get(prefixes, F.lit(0))).otherwise(first)
+    found = F.when(F.length(d) >= 2, F.concat(first, F.lit("-"), F.substring(d, -1, 1)))
+    return found if valid is None else F.when((F.size(valid) == 0) | F.array_contains(valid, found), found)
 
 
 def scale(c: Column) -> Column:

@@ -1,9 +1,8 @@
 """Relational building blocks: deterministic top-1, upserts, snapshot replacement, group repair, fuzzy joins."""
 
-from __future__ import annotations
-
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,12 +44,16 @@ def conflicts_fail(df: DataFrame, keys: Sequence[str], ok: Column) -> DataFrame:
 
 
 def peer_repair(df: DataFrame, group: str, size: str, tolerance: float, least: int = 3) -> DataFrame:
-    """Adds median, is_peer and repaired: outliers of a group take the median of its peers; left alone where none or all are peers."""
-    w = df.groupBy(group).agg(F.median(size).alias("median"), F.count("*").alias("__n"))
-    rows = df.join(w, group).withColumn("is_peer", F.abs(F.col(size) - F.col("median")) <= F.col("median") * tolerance)
-    peers = rows.groupBy(group).agg(F.median(F.when(F.col("is_peer"), F.col(size))).alias("__peer"), F.count_if("is_peer").alias("__k"))
+    """Adds median, is_peer and repaired: outliers of a group take the median of its peers; left alone where none or all are peers.
+
+    All windows share one partitioning, so the table is read and shuffled once.
+    """
+    w = W.partitionBy(group)
+    rows = df.withColumn("median", F.median(size).over(w)).withColumn("__n", F.count("*").over(w))
+    rows = rows.withColumn("is_peer", F.abs(F.col(size) - F.col("median")) <= F.col("median") * tolerance)
+    rows = rows.withColumn("__peer", F.median(F.when(F.col("is_peer"), F.col(size))).over(w)).withColumn("__k", F.count_if("is_peer").over(w))
     fix = (F.col("__n") >= least) & (F.col("__k") > 0) & ~F.col("is_peer")
-    return rows.join(peers, group).withColumn("repaired", F.when(fix, F.col("__peer")).otherwise(F.col(size))).drop("__n", "__peer", "__k")
+    return rows.withColumn("repaired", F.when(fix, F.col("__peer")).otherwise(F.col(size))).drop("__n", "__peer", "__k")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -59,21 +62,108 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda s, x: s + x)
 
 
-def hamming_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of 8-digit codes within Hamming distance 2: two of four 2-digit quarters are whole, so each pair of quarters is an equi-join key."""
+def hamming_join(left: DataFrame, right: DataFrame, a: str, b: str, size: int = 8) -> DataFrame:
+    """Pairs of codes of `size` digits within Hamming distance 2, with their distance.
+
+    Two such codes are equal once the two places where they may differ are masked, so each code is filed under all pairs of masked
+    places (28 for 8 digits): an equi-join whose every match is a result, and the work follows the pairs that there are.
+    """
     def keyed(df: DataFrame, c: str) -> DataFrame:
-        q = [F.substring(c, 2 * i + 1, 2) for i in range(4)]
-        keys = [F.concat(F.lit(f"{i}{j}:"), q[i], q[j]) for i in range(4) for j in range(i + 1, 4)]
-        return df.select(c).distinct().withColumn("__k", F.explode(F.array(*keys)))
+        cut = lambda i, j: F.concat(F.lit(f"{i}{j}:"), F.substring(c, 1, i), F.lit("?"), F.substring(c, i + 2, j - i - 1), F.lit("?"), F.substring(c, j + 2, size))
+        keys = [cut(i, j) for i in range(size) for j in range(i + 1, size)]
+        return df.select(c).where(F.length(c) == size).distinct().withColumn("__k", F.explode(F.array(*keys)))
+
+    return keyed(left, a).join(keyed(right, b), "__k").select(a, b).distinct().withColumn("distance", hamming(F.col(a), F.col(b)))
 
-    return keyed(left, a).join(keyed(right, b), "__k").select(a, b).distinct().withColumn("distance", hamming(F.col(a), F.col(b))).where("distance <= 2")
 
+def box_join(left: DataFrame, right: DataFrame, a: str, b: str, cell: float | None = None, most: int = 2000) -> DataFrame:
+    """Pairs of rows whose boxes a and b (struct minx, miny, maxx, maxy) share a point, each pair once.
 
-def grid_join(left: DataFrame, right: DataFrame, low: str, high: str, at: str, cell: float) -> DataFrame:
-    """left intervals [low, high] with right points `at` inside: an equi-join on grid cells with the exact test behind it."""
-    cells = F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
-    spread = left.withColumn("__cell", F.explode(cells))
-    return spread.join(right.withColumn("__cell", F.floor(F.col(at) / cell)), "__cell").where(F.col(at).between(F.col(low), F.col(high))).drop("__cell")
+    Boxes are filed under the cells of a grid that they touch; a pair counts in the cell of the lower corner of what both share. The
+    cell's side is that of an average box of the right, or what holds four right rows on average if that is more. A cell
+    with over `most` right rows is dealt into parts, to each of which the left rows go, so no cell is one task's.
+    """
+    if cell is None:
+        m = right.agg(F.avg(F.col(b)["maxx"] - F.col(b)["minx"]), F.avg(F.col(b)["maxy"] - F.col(b)["miny"]), F.max(F.col(b)["maxx"]) - F.min(F.col(b)["minx"]), F.max(F.col(b)["maxy"]) - F.min(F.col(b)["miny"]), F.count("*")).first()
+        if not m[4]:
+            cell = 1.0
+        else:
+            cell = max(m[0] or 0.0, m[1] or 0.0, (4 * (m[2] or 0.0) * (m[3] or 0.0) / m[4]) ** 0.5) or 1.0
+    to = lambda v: F.floor(v / cell)
+
+    def filed(df: DataFrame, box: str) -> DataFrame:
+        rows = df.withColumn("__i", F.explode(F.sequence(to(F.col(box)["minx"]), to(F.col(box)["maxx"]))))
+        return rows.withColumn("__j", F.explode(F.sequence(to(F.col(box)["miny"]), to(F.col(box)["maxy"]))))
+
+    x, y = filed(left, a), filed(right, b)
+    dense = y.groupBy("__i", "__j").count().where(F.col("count") > most).select("__i", "__j", F.ceil(F.col("count") / most).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    x = x.join(dense, ["__i", "__j"], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    y = y.join(dense, ["__i", "__j"], "left").withColumn("__part", F.pmod(F.xxhash64(*right.columns), parts).cast("int")).drop("__parts")
+    met = x.join(y, ["__i", "__j", "__part"])
+    p, q = F.col(a), F.col(b)
+    share = (p["minx"] <= q["maxx"]) & (p["maxx"] >= q["minx"]) & (p["miny"] <= q["maxy"]) & (p["maxy"] >= q["miny"])
+    here = (to(F.greatest(p["minx"], q["minx"])) == F.col("__i")) & (to(F.greatest(p["miny"], q["miny"])) == F.col("__j"))
+    return met.where(share & here).drop("__i", "__j", "__part")
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float], keep: int = 10_000) -> list[float | None]:
+    """Exact quantiles (linear interpolation) of a numeric column, without a sort or one task that holds all values.
+
+    Histograms narrow the range about each wanted rank until at most `keep` distinct values are left in it, which are then looked at.
+    Each pass reads one column and sends 1024 counts. Nulls and NaN do not count; null for no values.
+    """
+    v = F.col(column).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return [None] * len(shares)
+
+    def at(rank: int) -> float:
+        """The value with `rank` values before it."""
+        a, b, before = low, high, 0
+        while a < b:
+            inside = rows.where(F.col("v").between(a, b))
+            few = inside.groupBy("v").count().orderBy("v").limit(keep + 1).collect()
+            if len(few) <= keep:
+                for r in few:
+                    before += r["count"]
+                    if rank < before:
+                        return r["v"]
+            step = (b - a) / 1024
+            bin_ = F.least(F.lit(1023), F.floor((F.col("v") - a) / step)) if step else F.lit(0)
+            counts = inside.groupBy(bin_.alias("k")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("k").collect()
+            for r in counts:
+                if rank < before + r["n"]:
+                    a, b = r["a"], r["b"]
+                    break
+                before += r["n"]
+        return a
+
+    out = []
+    for share in shares:
+        place = share * (n - 1)
+        first = int(place)
+        lower = at(first)
+        out.append(lower + (place - first) * (at(min(first + 1, n - 1)) - lower) if place > first else lower)
+    return out
+
+
+def found_in(term: str, columns: Sequence[str], any_case: bool = False, joined: bool = False) -> Column:
+    """Whether a search term is in one of the columns, or in all of them joined by blanks; an empty term is in everything."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    texts = [F.concat_ws(" ", *texts)] if joined else texts
+    found = F.lit(False)
+    for c in texts:
+        found = found | (F.lower(c).contains(term.lower()) if any_case else c.contains(term))
+    return found
+
+
+def where_named(df: DataFrame, asked: dict[str, object], known: set[str]) -> DataFrame:
+    """Rows that equal what is asked for in each known column; names that are not known and values of None are no condition."""
+    for name in sorted(asked.keys() & known):
+        df = df if asked[name] is None else df.where(F.col(name) == asked[name])
+    return df
 
 
 def visible(df: DataFrame, unit: str, role: str, own: object) -> DataFrame:
@@ -81,9 +171,43 @@ def visible(df: DataFrame, unit: str, role: str, own: object) -> DataFrame:
     return df if role == "master" else df.where(F.col(unit) == own)
 
 
-def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 8) -> DataFrame:
+#: Distinct names that are sent to every task at most, and their characters in all.
+MANY, CHARS = 200_000, 16_000_000
+
+
+def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
     """Pairs of rows where the text contains the name; null and empty names match nothing.
 
+    Where the distinct names are few enough to be sent to every task (MANY, CHARS: checked), one automaton of them all reads each text
+    once. More names meet the texts by their grams (see gram_join). Both find the same pairs.
+    """
+    distinct = names.where(F.length(name) > 0).select(F.col(name).alias("__n")).distinct()
+    size = distinct.agg(F.count("*"), F.sum(F.length("__n"))).first()
+    if not size[0]:
+        return texts.join(names, F.lit(False))
+    if size[0] > MANY or size[1] > CHARS:
+        return gram_join(texts, names, text, name)
+    known = sorted(r[0] for r in distinct.collect())  # at most MANY, CHARS characters
+
+    @F.pandas_udf("array<int>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, word in enumerate(known):
+            automaton.add_word(word, i)
+        automaton.make_automaton()
+        for batch in batches:
+            yield pd.Series([[] if t is None else list({i for _, i in automaton.iter(t)}) for t in batch])
+
+    numbers = texts.sparkSession.createDataFrame(list(enumerate(known)), "__i int, __n string")
+    hits = texts.withColumn("__i", F.explode(found(F.col(text)))).join(F.broadcast(numbers), "__i")
+    return hits.join(names, F.col("__n") == F.col(name)).drop("__i", "__n")
+
+
+def gram_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 8) -> DataFrame:
+    """contains_join for any number of names.
+
     A name of `gram` characters or more meets the texts by its first gram, shorter ones by their own length: a theta join
     becomes an equi-join with the exact test behind it. Texts file hashes of their grams under a hash of their own, each
     once, so that no text is copied for each of its grams; grams are cut from an array of characters, in linear time.

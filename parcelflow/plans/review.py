@@ -187,8 +187,11 @@ def smallest_containing(t):
 
 @query("SELECT a.c_custkey AS unit, b.s_suppkey AS neighbour FROM customer a JOIN supplier b ON b.s_acctbal BETWEEN a.c_acctbal - 50 AND a.c_acctbal + 50")
 def neighbours(t):
-    left = t.customer.select(F.col("c_custkey").alias("unit"), (F.col("c_acctbal") - 50).alias("low"), (F.col("c_acctbal") + 50).alias("high"))
-    return R.grid_join(left, t.supplier.select(F.col("s_suppkey").alias("neighbour"), "s_acctbal"), "low", "high", "s_acctbal", 100).select("unit", "neighbour")
+    """Intervals and points as flat boxes."""
+    flat = lambda low, high: G.envelope(low, 0, high, 0)
+    left = t.customer.select(F.col("c_custkey").alias("unit"), flat(F.col("c_acctbal") - 50, F.col("c_acctbal") + 50).alias("a"))
+    right = t.supplier.select(F.col("s_suppkey").alias("neighbour"), flat(F.col("s_acctbal"), F.col("s_acctbal")).alias("b"))
+    return R.box_join(left, right, "a", "b", 100).select("unit", "neighbour")
 
 
 @query("SELECT user_id, event_type, count(*) AS votes, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS confidence FROM events GROUP BY user_id, event_type QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) = 1")
@@ -267,9 +270,11 @@ def point_in_ring(t):
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b FROM (SELECT vec_id, embedding[1] AS x, embedding[2] AS y FROM embeddings) a JOIN (SELECT vec_id, embedding[1] AS x, embedding[2] AS y FROM embeddings) b ON abs(a.x::DOUBLE - b.x::DOUBLE) <= 0.05 AND abs(a.y::DOUBLE - b.y::DOUBLE) <= 0.05")
 def boxes_nearby(t):
-    box = lambda n: t.embeddings.select(F.col("vec_id").alias(n), *[F.col("embedding")[i].cast("double").alias(n + c) for i, c in enumerate("xy")])
-    left = box("a").withColumns({"low": F.col("ax") - 0.05, "high": F.col("ax") + 0.05})
-    return R.grid_join(left, box("b"), "low", "high", "bx", 0.1).where((F.abs(F.col("ax") - F.col("bx")) <= 0.05) & (F.abs(F.col("ay") - F.col("by")) <= 0.05)).select("a", "b")
+    at = lambda n: t.embeddings.select(F.col("vec_id").alias(n), *[F.col("embedding")[i].cast("double").alias(n + c) for i, c in enumerate("xy")])
+    left = at("a").withColumn("box", G.envelope(F.col("ax") - 0.06, F.col("ay") - 0.06, F.col("ax") + 0.06, F.col("ay") + 0.06))
+    right = at("b").withColumn("own", G.envelope(F.col("bx"), F.col("by"), F.col("bx"), F.col("by")))
+    met = R.box_join(left, right, "box", "own")
+    return met.where((F.abs(F.col("ax") - F.col("bx")) <= 0.05) & (F.abs(F.col("ay") - F.col("by")) <= 0.05)).select("a", "b")
 
 
 @query("SELECT id, CASE WHEN won IS NULL THEN status ELSE target END AS status, 1 + (won IS NOT NULL)::INTEGER AS version FROM (SELECT id, status FROM markup) m LEFT JOIN (SELECT id AS mid, min(seq) AS won, arg_min(target, seq) AS target FROM (SELECT event_id - event_id % 9 AS id, event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'rejected' WHEN 2 THEN 'pending' ELSE 'other' END AS target, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'why' END AS reason FROM events) WHERE target = 'applied' OR target = 'rejected' AND trim(reason) <> '' GROUP BY 1) c ON mid = id AND status = 'pending'")
@@ -326,7 +331,8 @@ def routed_names(t):
 
 @query("SELECT count(*) AS n, round(min(c_acctbal), 2) AS low, round(max(c_acctbal), 2) AS high, round(median(c_acctbal), 4) AS mid, round(quantile_cont(c_acctbal, 0.95), 4) AS p95 FROM customer")
 def extent(t):
-    return t.customer.agg(F.count("*").alias("n"), F.round(F.min("c_acctbal"), 2).alias("low"), F.round(F.max("c_acctbal"), 2).alias("high"), F.round(F.median("c_acctbal"), 4).alias("mid"), F.round(F.percentile("c_acctbal", 0.95), 4).alias("p95"))
+    mid, p95 = R.quantiles(t.customer, "c_acctbal", [0.5, 0.95])
+    return t.customer.agg(F.count("*").alias("n"), F.round(F.min("c_acctbal"), 2).alias("low"), F.round(F.max("c_acctbal"), 2).alias("high")).select("*", F.round(F.lit(mid), 4).alias("mid"), F.round(F.lit(p95), 4).alias("p95"))
 
 
 @query()

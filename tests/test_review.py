@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import geometry as G
 from parcelflow.functions import text as X
+from parcelflow.operators import codes as C
 from parcelflow.operators import relational as R
-from parcelflow.plans import inventory, review  # noqa: F401
+from parcelflow.plans import inventory, places, review  # noqa: F401
 from parcelflow.sources import readers as S
+from parcelflow.sources import writers as K
 from parcelflow.streaming import markup as M
 
 
@@ -64,6 +67,8 @@ def test_text(spark):
     assert one(X.compact(F.lit("한 림 읍"))) == "한림읍" and one(X.scale(F.lit("1:7,727"))) == 7727 and one(X.scale(F.lit("1 : 14957"))) == 14957
     assert one(X.status_list(F.lit(" applied, x"))) == ["applied"] and one(X.status_list(F.lit(None).cast("string"))) == ["pending"]
     assert one(X.sheet_id(F.lit("/-1"))) == "7-1"
+    nine = F.array(*[F.lit(f"9-{i}") for i in range(1, 10)])
+    assert one(X.sheet_id(F.lit("/-1"), nine)) == "9-1" and one(X.sheet_id(F.lit("90"), nine)) is None
     assert one(R.hamming(F.lit("80020310"), F.lit("39020310"))) == 2
 
 
@@ -83,6 +88,14 @@ def test_sources(spark, tmp_path):
     rows = S.roster(spark, str(tmp_path / "r.csv")).collect()
     assert [(r["adm_cd"], r["ri_nm"], r["li_nm"], r["ri_cd"]) for r in rows] == [("10", "ri", "x", "5")]
     assert S.detect_columns(["x"])[1] == list(S.REQUIRED)
+    assert S.detect_columns(["읍면동코드", "행정동 명", "법정리명", "행정리명", "행정리코드", "RMK"]) == ({"읍면동코드": "adm_cd", "행정동 명": "adm_nm", "법정리명": "li_nm", "행정리명": "ri_nm", "행정리코드": "ri_cd", "RMK": "remark"}, [])
+    assert S.pick_sheet({"a": ["x"], "b": header}) == "b" and S.pick_sheet({"a": ["x"], "b": []}) == "a" and S.pick_sheet({}) is None
+    (tmp_path / "o.csv").write_text("a,b\n1,2\n")
+    assert S.roster_of(spark, {"notes": str(tmp_path / "o.csv"), "list": str(tmp_path / "r.csv")}, units=["10"]).count() == 1
+    (tmp_path / "s.csv").write_text("scan_path,status,admin_code,sheet_id\na,OK,1,4-1\nb,FAIL,1,4-2\nc,OK_NO_PDF,1,\n")
+    assert [x["scan_path"] for x in S.status_rows(spark, str(tmp_path / "s.csv")).collect()] == ["a"]
+    (tmp_path / "u.csv").write_text("admin_cd , role\n 1 ,master\n")
+    assert [tuple(x) for x in S.accounts(spark, str(tmp_path / "u.csv")).collect()] == [("1", "master")]
     (tmp_path / "a.jgw").write_text("0.5\n0\n0\n-0.5\n10\n20\n")
     assert tuple(S.world_files(spark, str(tmp_path / "a.jgw")).drop("path").first()) == (0.5, 0.0, 0.0, -0.5, 10.0, 20.0)
     names = spark.createDataFrame([("a/12345678_4-1_2.jpg",), ("b.jpg",)], "path string")
@@ -98,12 +111,45 @@ def test_state_machine(spark):
 
 
 def test_state_stream(spark, tmp_path):
-    spark.sql("SELECT id % 5 AS id, timestamp'2024-01-01' + make_interval(0,0,0,0,0,id) AS at, 'applied' AS target, CAST(null AS string) AS reason FROM range(20)").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, at timestamp, target string, reason string").parquet(str(tmp_path / "in"))
-    q = M.first_transitions(stream).writeStream.format("memory").queryName("firsts").start()
+    """Two batches, days apart: a request decided in the first is no longer pending in the second; each event against the rules."""
+    import random
+
+    r = random.Random(4)
+    rows = [(r.randrange(6), k, r.choice(["applied", "rejected", "pending", "other"]), r.choice([None, 1, 2]), r.choice([None, " ", "why"]), f"a{k}") for k in range(120)]
+    cut = lambda part, day: spark.createDataFrame(part, "id long, seq long, target string, expected int, reason string, actor string").selectExpr("*", f"timestamp'2024-01-{day}' + make_interval(0,0,0,0,0,seq) AS at")
+    cut(rows[:40], "01").coalesce(1).write.parquet(str(tmp_path / "in" / "1"))
+    stream = spark.readStream.schema("id long, seq long, target string, expected int, reason string, actor string, at timestamp").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = M.transitions(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c")).format("memory").queryName("events_out").start()
+    q.processAllAvailable()
+    cut(rows[40:], "09").coalesce(1).write.parquet(str(tmp_path / "in" / "2"))
     q.processAllAvailable()
     q.stop()
-    assert spark.sql("SELECT count(*), count(DISTINCT id) FROM firsts").first() == (5, 5)
+    state, want = {}, []
+    for id_, seq, target, expected, reason, actor in rows:
+        status, version = state.get(id_, ("pending", 1))
+        if target == "rejected" and not (reason or "").strip():
+            got = "invalid"
+        elif target == status:
+            got = "same"
+        elif status != "pending" or target not in ("applied", "rejected"):
+            got = "conflict"
+        elif expected not in (None, version):
+            got = "stale"
+        else:
+            got = "done"
+            state[id_] = target, version + 1
+        want.append((id_, seq, got, status, *state.get(id_, (status, version)), actor))
+    assert len(state) > 3
+    assert sorted(tuple(x)[:7] for x in spark.sql("SELECT * FROM events_out").collect()) == sorted(want)
+
+
+def test_deletable(spark):
+    m = spark.createDataFrame([(1, "pending"), (2, "applied"), (3, "rejected")], "id long, status string")
+    e = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "event long, id long")
+    ids = spark.createDataFrame([(1,), (2,), (9,)], "id long")
+    left = [sorted(r["id"] for r in x.collect()) for x in M.deletable(m, e, ids)]
+    assert left == [[2, 3], [2, 3]]
+    assert [sorted(r["id"] for r in x.collect()) for x in M.deletable(m, e, ids, superadmin=True)] == [[3], [3]]
 
 
 def test_replace_is_idempotent(spark):
@@ -113,7 +159,9 @@ def test_replace_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, R.replace_units(once, new, "unit").collect())) == [(1, "a"), (9, "b")]
 
 
-def test_contains_join_finds_all(spark):
+@pytest.mark.parametrize("many", [200_000, 0])
+def test_contains_join_finds_all(spark, monkeypatch, many):
+    monkeypatch.setattr(R, "MANY", many)
     texts = spark.createDataFrame([(1, "abcdefghijkl"), (2, "xab"), (3, None), (4, ""), (5, "abcdefghijkl")], "t int, text string")
     names = spark.createDataFrame([(1, "ab"), (2, "cdefghijkl"), (3, "cdefghijkx"), (4, ""), (5, None), (6, "b")], "n int, name string")
     got = sorted((r["t"], r["n"]) for r in R.contains_join(texts, names, "text", "name").collect())
@@ -138,3 +186,123 @@ def test_inventory_empty(spark):
     e = spark.createDataFrame([], "a int, x double, y double")
     assert R.nearest(e, e.withColumnRenamed("a", "b"), 1.0, F.lit(True), ["a"], "b").count() == 0
     assert spark.range(1).select(X.joined_runs(F.array(F.lit("1234"), F.lit("5678"), F.lit("9")))).first()[0] == ["12345678"]
+
+
+def slow_codes(text, units, valid):
+    """The tiers in a row, one text at a time."""
+    compact = re.sub(r"\s+", "", text or "")
+    text, known = text or "", {c for c, _ in units}
+    names = {c for c, n in units if n and re.sub(r"\s+", "", n) in compact}
+    keep = lambda found: {c for c in found if valid is None or c in valid}
+    parens = [re.sub(r"\s", "", p) for p in re.findall(r"\(\s*([\d\s]+?)\s*\)", text)]
+    behind = [re.sub(r"\s", "", p) for p in re.findall(r"[가-힣][가-힣\s]*\(\s*([\d\s]+?)\s*\)", text)]
+    if found := keep(p for p in behind if len(p) == 8):
+        return 0, found
+    found = keep(p for p in parens if len(p) == 8)
+    if found := (found & names if names else found):
+        return 10, found
+    tokens = {p for p in parens if 7 <= len(p) <= 11} | set(re.findall(r"\d{7,11}", text))
+    windows = {t[i : i + 8] for t in tokens for i in range(len(t) - 7)}
+    off = lambda a, b: sum(x != y for x, y in zip(a, b))
+    fuzzy = {c for c in known for t in tokens if (len(t) == 8 and off(t, c) <= 1) or (len(t) == 7 and any(c[:i] + c[i + 1 :] == t for i in range(8))) or (len(t) == 9 and any(t[:i] + t[i + 1 :] == c for i in range(9))) or (len(t) > 9 and c in t)}
+    if both := fuzzy & names:
+        return (20, keep(both)) if keep(both) else (21, both)
+    if found := keep(c for c in names if any(off(w, c) <= 2 for w in windows)):
+        return 25, found
+    if found := keep(names):
+        return 30, found
+    if found := keep(fuzzy):
+        return 40, found
+    if valid is not None and len(valid) <= C.SMALL and (found := {c for c in valid if any(off(w, c) <= 2 for w in windows)}):
+        return 45, found
+    runs = re.findall(r"\d+", text)
+    eights = set(re.findall(r"\d{8}", text)) | {"".join(runs[i : i + k]) for i in range(len(runs)) for k in range(1, 6)}
+    return 50, keep(c for c in eights if len(c) == 8)
+
+
+@pytest.mark.parametrize("n", [None, 30, 160])
+def test_code_tiers(spark, sf, n):
+    from parcelflow.plans.review import Tables
+
+    texts, units, _ = places.recognised(Tables(spark, sf))
+    units = units.limit(200)
+    listed = [tuple(u) for u in units.collect()]
+    valid = None if n is None else {c for c, _ in listed[:n]}
+    more = [(-1, "한 림 읍 (37570360)"), (-2, "우곡면(3757 0360) 37570360"), (-3, None), (-4, ""), (-5, "2539010330"), (-6, "1234567 12 34 56 78 9"), (-7, "80" + listed[3][0][2:]), (-8, listed[5][0][:4] + "9" + listed[5][0][4:])]
+    texts = texts.union(spark.createDataFrame(more, texts.schema))
+    table = None if valid is None else spark.createDataFrame([(c,) for c in valid], "code string")
+    got = {}
+    for r in C.tiered_codes(texts, "p_partkey", "t", units, table).collect():
+        got.setdefault(r["p_partkey"], (r["tier"], set()))[1].add(r["code"])
+    want = {r["p_partkey"]: slow_codes(r["t"], listed, valid) for r in texts.collect()}
+    assert got == {k: v for k, v in want.items() if v[1]}
+    assert len({t for t, _ in got.values()}) >= 4
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for values in (r.normal(size=5000), r.integers(0, 3, 2000).astype(float), np.array([5.0]), np.concatenate((np.zeros(1000), 1e9 + r.random(1000)))):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        shares = [0.0, 0.1, 0.5, 0.95, 1.0]
+        assert R.quantiles(df, "v", shares, keep=50) == pytest.approx(np.quantile(values, shares).tolist())
+    assert R.quantiles(df.where("false"), "v", [0.5]) == [None]
+
+
+def test_box_join_finds_each_pair_once(spark):
+    import random
+
+    r = random.Random(3)
+    boxes = [(i, *sorted((r.uniform(-9, 9), r.uniform(-9, 9))), *sorted((r.uniform(-9, 9), r.uniform(-9, 9)))) for i in range(60)] + [(100 + i, 1.0, 1.0, 2.0, 2.0) for i in range(30)]
+    df = spark.createDataFrame(boxes, "id int, a double, b double, c double, d double").select("id", G.envelope(F.col("a"), F.col("c"), F.col("b"), F.col("d")).alias("box"))
+    want = sorted((p[0], q[0]) for p in boxes for q in boxes if p[1] <= q[2] and p[2] >= q[1] and p[3] <= q[4] and p[4] >= q[3])
+    for cell, most in ((None, 2000), (1.0, 5), (40.0, 7)):
+        got = R.box_join(df, df.withColumnsRenamed({"id": "id2", "box": "box2"}), "box", "box2", cell, most)
+        assert sorted((x["id"], x["id2"]) for x in got.collect()) == want
+    assert R.box_join(df, df.where("false").withColumnsRenamed({"id": "id2", "box": "box2"}), "box", "box2").count() == 0
+
+
+def test_replace_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "boundary")
+    rows = lambda *r: spark.createDataFrame(list(r), "adm_cd string, gid long")
+    assert K.current(spark, path) is None
+    assert K.replace_units(spark, path, rows(("a", 1), ("a", 2), ("b", 3)), "adm_cd") == (0, 3)
+    assert K.replace_units(spark, path, rows(("a", 9)), "adm_cd") == (2, 1)
+    assert sorted(tuple(r) for r in K.current(spark, path).select("adm_cd", "gid").collect()) == [("a", 9), ("b", 3)]
+
+
+def test_exports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "N", "add"), (2, "N", "attr"), (3, "S", "add")], "id long, region string, kind string")
+    made = S.feature_collection(K.export_rows(rows, "region", "kind", ["all", "S", "unknown"]), ["file"], ["kind"], "id")
+    K.write_collections(made, str(tmp_path / "x"))
+    names = sorted(os.path.basename(f) for f in glob.glob(str(tmp_path / "x" / "file=*")))
+    assert names == ["file=S_add", "file=all_add", "file=all_attr"]
+    assert all(len(glob.glob(f"{tmp_path}/x/{n}/*.txt")) == 1 for n in names)
+    empty = S.feature_collection(rows.where("false"), [], ["kind"], "id").collect()
+    assert [r["geojson"] for r in empty] == ['{"type":"FeatureCollection","features":[]}']
+    stay, n = K.deleted(rows, F.col("region") == "N")
+    assert n == 2 and stay.count() == 1
+    assert K.append_log(rows, str(tmp_path / "log")) and K.append_log(rows, str(tmp_path / "log")) and spark.read.parquet(str(tmp_path / "log")).count() == 6
+    assert not K.append_log(rows.withColumn("x", F.expr("raise_error('no')")), str(tmp_path / "log"))
+    K.status_csv(rows.withColumn("none", F.lit(None).cast("int")), str(tmp_path / "s"), ["id", "none"])
+    assert sorted(r["id"] for r in spark.read.option("header", True).csv(str(tmp_path / "s")).collect()) == ["1", "2", "3"]
+
+
+def test_layer_features(spark):
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.123456789, 0.0), (1.0, 0.0), (1.0, 1.0), (0.123456789, 0.0))])
+    rows = spark.range(2).select(F.col("id").alias("ADM_CD"), F.lit("r").alias("Ri_Cd"), F.lit(1).alias("other"), F.when(F.col("id") == 0, F.array(F.array(ring))).alias("polygons"))
+    got = K.layer_features(rows).collect()
+    assert len(got) == 1 and got[0]["adm_cd"] == 0 and got[0]["geometry"][0][0][0]["x"] == 0.1234568
+
+
+def test_files_on_disk(spark, tmp_path):
+    from parcelflow.sources import files as N
+
+    for name in ("12345678.pdf", "a/12345678_4-1.jpg", "b/12345678_4-1_2.jpg", "a/.ipynb_checkpoints/12345678_4-2.jpg", "b/x.JPG", "b/x.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = N.listed(spark, str(tmp_path))
+    assert found.count() == 5 and N.bodies(found).count() == 1 and N.duplicate_sheets(found).first()["copies"] == 2
+    assert {tuple(r)[:3] for r in N.documents(found).collect()} == {("main", "12345678", None)}
+    assert N.documents_over_images(found).count() == 4  # hidden folders are not listed

@@ -1,8 +1,10 @@
 """Shapefiles, and operators on points and lines, on small fixtures."""
 
 import math
+import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geometry as G
@@ -77,3 +79,100 @@ def test_similarity_fit(spark):
     pairs = spark.createDataFrame([(1, x, y, a * x - b * y + 7, b * x + a * y - 3) for x, y in ((0.0, 0.0), (1.0, 0.0), (2.0, 5.0), (-3.0, 1.0))] + [(2, 1.0, 1.0, 4.0, 4.0)], "g int, x double, y double, u double, v double")
     got = {r["g"]: r for r in P.similarity_fit(pairs, ["g"]).collect()}
     assert all(abs(p - q) < 1e-9 for p, q in zip(got[1][2:7], (a, b, 7, -3, 2))) and got[1]["rms"] < 1e-6 and got[2]["a"] is None
+
+
+def test_polygons(spark):
+    one = lambda *c: spark.range(1).select(*c).first()
+    ring = lambda *p: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in (*p, p[0])])
+    square, hole = ring((0, 0), (10, 0), (10, 10), (0, 10)), ring((4, 4), (6, 4), (6, 6), (4, 6))
+    p = F.array(square, hole)
+    at = lambda x, y: G.covers(p, F.lit(float(x)), F.lit(float(y)))
+    assert tuple(one(at(1, 1), at(5, 5), at(10, 5), at(4, 5), at(11, 5), at(0, 0))) == (True, False, True, True, False, True)
+    assert tuple(one(G.polygon_area(p), G.multi_area(G.multi(p)), F.size(G.vertices(G.multi(p))))) == (96.0, 96.0, 10)
+    box = lambda *v: G.meets_box(p, G.envelope(*v))
+    assert tuple(one(box(4.5, 4.5, 5, 5), box(4.5, 4.5, 7, 5), box(-1, -1, 20, 20), box(11, 0, 12, 1), box(1, 1, 2, 2))) == (False, True, True, False, True)
+    bow = ring((0, 0), (2, 2), (2, 0), (0, 2))
+    assert tuple(one(G.crosses_itself(square), G.crosses_itself(bow))) == (False, True)
+    text = F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"Polygon","coordinates":[[[0,0],[1,0],[0,1],[0,0]]]}]}')
+    assert one(G.multi_area(G.from_geojson(text)))[0] == 0.5
+    back = one(G.from_geojson(G.to_geojson(G.multi(p))).alias("a"), G.multi(p).alias("b"))
+    assert back["a"] == back["b"]
+    metres = one(G.projected(G.multi(F.array(ring((127.5, 38), (127.6, 38), (127.5, 38.1))))).alias("m"))["m"][0][0][0]
+    assert abs(metres["x"] - 1_000_000) < 1e-6 and abs(metres["y"] - 2_000_000) < 1e-6
+
+
+def test_touched_polygons(spark):
+    rings = spark.createDataFrame([(1, 0.0), (2, 5.0), (3, 5.5)], "key int, o double")
+    p = lambda dx, dy: F.struct((F.col("o") + dx).alias("x"), (F.col("o") + dy).alias("y"))
+    rings = rings.withColumn("shape", F.array(F.array(p(0, 0), p(2, 0), p(2, 2), p(0, 2), p(0, 0))))
+    lines = spark.createDataFrame([(1, [(1.0, 1.0), (9.0, 9.0)]), (2, [(6.0, 6.0)]), (3, [(3.0, 3.0)]), (4, [])], "id int, line array<struct<x:double,y:double>>")
+    got = P.touched(lines, rings, "line", "shape").select("id", "key").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 2), (2, 3)]
+
+
+def test_simplified_keeps_the_tolerance(spark):
+    r = random.Random(2)
+    lines = [(k, [(float(i), r.uniform(-1, 1)) for i in range(60)]) for k in range(5)] + [(9, []), (10, [(1.0, 1.0)]), (11, [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)])]
+    df = spark.createDataFrame(lines, "k int, line array<struct<x:double,y:double>>")
+    got = {x["k"]: [tuple(q) for q in x["line"]] for x in P.simplified(df, "line", 0.8).collect()}
+    assert got[11] == [(0.0, 0.0), (2.0, 0.0)] and got[9] == [] and got[10] == [(1.0, 1.0)]
+    for k, line in lines[:5]:
+        kept = got[k]
+        assert 2 <= len(kept) < 60 and kept[0] == line[0] and kept[-1] == line[-1] and set(kept) <= set(line)
+        for x, y in line:
+            (a, b), (c, d) = next((p, q) for p, q in zip(kept, kept[1:]) if p[0] <= x <= q[0])
+            assert abs(b + (d - b) * (x - a) / (c - a) - y) <= 0.8 * math.hypot(1, (d - b) / (c - a)) + 1e-9
+
+
+def test_rasters(spark):
+    rows = spark.createDataFrame([(1,)], "k int")
+    ring = lambda *p: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in (*p, p[0])])
+    shape = F.array(ring((1.2, 1.3), (8.7, 2.1), (7.1, 8.9), (0.4, 7.7)), ring((3.1, 3.2), (5.2, 3.1), (5.3, 5.9), (2.9, 5.2)))
+    runs = P.raster_runs(rows.withColumn("s", shape), "s", 0.0, 10.0, 0.5, 20, 20).select("row", "first", "last").collect()
+    got = {(x["row"], c) for x in runs for c in range(x["first"], x["last"] + 1)}
+    want = set()
+    for row in range(20):
+        middles = spark.range(20).select("id", G.covers(shape, (F.col("id") + 0.5) * 0.5, F.lit(10.0 - (row + 0.5) * 0.5)).alias("in"))
+        want |= {(row, x["id"]) for x in middles.where("in").collect()}
+    assert got == want and len(got) > 100
+
+
+def test_matches(spark):
+    pairs = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 0.5), ("b", 2, 3.0), ("c", 2, 1.5), ("c", 1, 1.6)], "l string, r int, d double")
+    assert sorted(tuple(x)[:2] for x in P.mutual_best(pairs, "l", "r", "d").collect()) == [("b", 1), ("c", 2)]
+    assert sorted(tuple(x) for x in P.ratio_matches(pairs, "l", "r", "d").collect()) == [("a", 1, 1.0), ("b", 1, 0.5)]
+
+
+def test_icp_finds_a_similarity(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    p = r.uniform(0, 100, 80) + 1j * r.uniform(0, 100, 80)
+    m, t = 1.01 * np.exp(0.01j), 0.8 - 0.5j
+    q = m * p + t
+    rows = [("g", "source", float(z.real), float(z.imag)) for z in [*p, 500 + 500j]] + [("g", "target", float(z.real), float(z.imag)) for z in q] + [("h", "source", 1.0, 1.0)]
+    got = {x["key"]: x for x in P.icp_fits(spark.createDataFrame(rows, "key string, kind string, x double, y double"), "key", gate=0.1).collect()}
+    assert abs(got["g"]["a"] - m.real) < 1e-6 and abs(got["g"]["b"] - m.imag) < 1e-6 and abs(got["g"]["tx"] - t.real) < 1e-4 and got["g"]["accepted"]
+    assert not got["h"]["accepted"]
+
+
+def test_shift_by_correlation(spark):
+    import numpy as np
+
+    a = np.random.default_rng(4).random((32, 40))
+    rows = [(k, a.tolist(), np.roll(a, (dy, dx), (0, 1)).tolist()) for k, (dx, dy) in enumerate([(0, 0), (5, -3), (-7, 9)])]
+    got = P.shifts(spark.createDataFrame(rows, "k int, first array<array<double>>, second array<array<double>>"), "k").orderBy("k").collect()
+    assert [(round(x["dx"]), round(x["dy"])) for x in got] == [(0, 0), (5, -3), (-7, 9)] and all(x["peak"] > 0.99 for x in got)
+
+
+def test_placements(spark):
+    rows = spark.createDataFrame([("u", 1, 0.0, 0.0, 10.0, 10.0), ("u", 2, 8.0, 0.0, 18.0, 10.0), ("u", 3, 30.0, -10.0, 40.0, 0.0)], "unit string, k int, a double, b double, c double, d double")
+    got = P.placements(rows.select("unit", "k", G.envelope(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("box")), "unit", "k", "box", 0.5).orderBy("k").collect()
+    assert [(x["left"], x["top"], x["right"], x["bottom"], x["covered"]) for x in got] == [(0, 0, 20, 20, [2]), (16, 0, 36, 20, []), (60, 20, 80, 40, [])]
+
+
+def test_profiles(spark):
+    values = [200.0] * 10 + [20.0, 30.0] + [200.0] * 2 + [10.0] + [200.0] * 30 + [100.0] + [200.0] * 5
+    got = P.dark_frames(spark.createDataFrame([(values,)], "profile array<double>")).first()["runs"]
+    assert [(x["first"], x["last"]) for x in got] == [(10, 14), (45, 45)] and got[0]["depth"] == 120.0
+    assert spark.range(1).select(P.merged_lines(F.array(*map(F.lit, (1.0, 2.0, 10.0, 2.5))), 2.0)).first()[0] == [pytest.approx(5.5 / 3), 10.0]
