@@ -105,8 +105,10 @@ def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str,
     lines = every.join(_meeting(every, _without_block(F.col("line"))).distinct(), "h1", "left_semi")
     lines = durable(lines.join(first, ["h1", "h2"]).select(F.struct("at", "h1", "h2").alias("me"), "line"), "candidates")
     variants = lines.select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.explode(_variants(F.col("line"))).alias("v")).select("h1", "h2", "v.*")
+    variants = durable(variants, "variants")  # making them costs more than keeping them
     met = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
     found = durable(variants.join(met, "key"), "found")
+    discard(variants)
     held_by = found.join(lines.select(F.col("me"), F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2")), ["h1", "h2"]).select("key", "kind", "me")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("me")))
     groups = held_by.groupBy("key").agg(least(0).alias("r"), least(1).alias("d"), least(2).alias("s"))
