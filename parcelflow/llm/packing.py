@@ -22,6 +22,8 @@ from parcelflow.llm.common import durable, whole
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 GROUP, REPEATS = 4096, 64
+#: Texts whose token counts a task remembers.
+KNOWN = 200_000
 
 
 def cost(size: int, sizes=SIZES) -> float:
@@ -87,14 +89,22 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None,
 
     def encode(batches):
         import pyarrow as pa
+        from xxhash import xxh3_128_digest
 
-        encoder = tokens.encoder(tokenizer, end_id)
+        encoder, known = tokens.encoder(tokenizer, end_id), {}  # known: token counts of texts met before, for copies
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a in range(0, len(texts), 256):
-                raw = [b"" if len(x) == encoder.width else x for x in encoder(texts[a : a + 256])]
-                sizes = [len(x) // encoder.width for x in raw]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array(sizes, pa.int64()), pa.array(raw if keep else [None] * len(raw), pa.binary()), pa.array([encoder.width] * len(raw), pa.int32())], ["id", "size", "ids", "width"])
+                some = texts[a : a + 256]
+                marks = [xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in some]
+                new = list(range(len(some))) if keep else list({m: k for k, m in enumerate(marks) if m not in known}.values())
+                raw = dict(zip(new, encoder([some[k] for k in new])))
+                if len(known) > KNOWN:
+                    known = {m: known[m] for m in marks if m in known}
+                known.update((marks[k], len(x) // encoder.width if len(x) > encoder.width else 0) for k, x in raw.items())
+                sizes = [known[m] for m in marks]
+                raw = [raw[k] if n else b"" for k, n in enumerate(sizes)] if keep else [None] * len(some)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array([encoder.width] * len(raw), pa.int32())], ["id", "size", "ids", "width"])
 
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     rows = rows.mapInArrow(encode, f"id {docs.schema[id_col].dataType.simpleString()}, size long, ids binary, width int")

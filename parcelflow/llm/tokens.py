@@ -89,30 +89,40 @@ class Encoder:
         """Add new parts to the cache."""
         import numpy as np
 
-        known = self.older.keys() & parts
-        self.cache.update((x, self.older[x]) for x in known)
-        cut = {}
-        for x in parts - known:
-            y = x.rstrip(MARKS)
-            cut[x] = (y, x[len(y) :]) if y and len(y) < len(x) and y[-1].isalnum() else (x, "")
-        new = {y for pair in cut.values() for y in pair if y not in self.cache}
+        cache = self.cache
+        if known := self.older.keys() & parts:
+            cache.update((x, self.older[x]) for x in known)
+            parts = parts - known
+        new, cut = set(), []
+        for x in parts:
+            if x[-1] in MARKS and (y := x.rstrip(MARKS)) and y[-1].isalnum():
+                cut.append((x, y, x[len(y) :]))
+            else:
+                new.add(x)
+        new.update(y for _, y, _ in cut if y not in cache)
+        new.update(z for z in {z for _, _, z in cut} if z not in cache)
         letters = [y for y in new if y.isalpha()]
-        for a in range(0, len(letters), 1000):
-            some = letters[a : a + 1000]
+        # ASCII letters are lower-cased first, so that a word and its capitalised form are encoded once
+        plain = {y: y.lower() if y.isascii() else y for y in letters}
+        ask = [y for y in set(plain.values()) if y not in cache]
+        w = self.width
+        for a in range(0, len(ask), 1000):
+            some = ask[a : a + 1000]
             ids = self.ids(" ".join(some))
-            stops = (self.ends_word[ids].nonzero()[0] + 1).tolist()
+            stops = (self.ends_word[ids].nonzero()[0] + 1) * w
             if len(stops) == len(some):
-                raw, w, at = ids.tobytes(), self.width, 0
-                for y, stop in zip(some, stops):
-                    self.cache[y] = raw[at * w : stop * w]
+                raw, at = ids.tobytes(), 0
+                for y, stop in zip(some, stops.tolist()):
+                    cache[y] = raw[at:stop]
                     at = stop
-                new.difference_update(some)
-        rest = list(new)
+        for y, x in plain.items():
+            if x in cache:
+                cache[y] = cache[x]
+        rest = [y for y in new if y not in cache]
         for y, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.cache[y] = np.array(found.ids, self.kind).tobytes()
-        for x, (y, z) in cut.items():
-            if z:
-                self.cache[x] = self.cache[y] + self.cache[z]
+            cache[y] = np.array(found.ids, self.kind).tobytes()
+        for x, y, z in cut:
+            cache[x] = cache[y] + cache[z]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_parts:
@@ -130,8 +140,8 @@ class Encoder:
         out = [b"".join(map(get, p)) + self.end for p in parts]
         for x in new:
             if len(x) > LONG:
-                self.cache.pop(x, None)
-                self.cache.pop(x.rstrip(MARKS), None)
+                for y in (x, x.rstrip(MARKS), x.lower(), x.rstrip(MARKS).lower()):
+                    self.cache.pop(y, None)
         return out
 
 
