@@ -366,3 +366,40 @@ def text_code_tiers(t):
     """The codes of recognised texts by the best evidence; a test holds them against a slow reading."""
     texts, units, valid = recognised(t)
     return C.tiered_codes(texts, "p_partkey", "t", units, valid)
+
+
+@query("SELECT adm_cd, ri_cd, gid, coalesce(a.name, 'passthrough') AS template FROM boundary LEFT JOIN (SELECT p_partkey AS adm_cd, '1-URGENT' AS ri_cd, p_name AS name FROM part) a USING (adm_cd, ri_cd)")
+def sheet_templates(t):
+    """The template of a unit's sheet; rows without one pass through."""
+    known = t.part.select(F.col("p_partkey").alias("adm_cd"), F.lit("1-URGENT").alias("ri_cd"), F.col("p_name").alias("template"))
+    rows = t.boundary.select("adm_cd", "ri_cd", "gid").join(known, ["adm_cd", "ri_cd"], "left")
+    return rows.select("adm_cd", "ri_cd", "gid", F.coalesce("template", F.lit("passthrough")).alias("template"))
+
+
+@query("SELECT s_suppkey AS admin_cd, 'master' AS role, s_nationkey AS perm_level FROM supplier UNION ALL SELECT adm_cd, 'normal', 1 FROM node WHERE adm_cd NOT IN (SELECT s_suppkey FROM supplier)")
+def accounts_from_units(t):
+    """An account for each unit that has none."""
+    old = t.supplier.select(F.col("s_suppkey").alias("admin_cd"), F.lit("master").alias("role"), F.col("s_nationkey").alias("perm_level"))
+    new = t.node.select(F.col("adm_cd").alias("admin_cd"), F.lit("normal").alias("role"), F.lit(1).cast(old.schema["perm_level"].dataType).alias("perm_level"))
+    return R.insert_ignore(old, new, ["admin_cd"])
+
+
+def _projection(lon: str, lat: str) -> tuple[str, str]:
+    """The projected system written out in SQL, as a check on the column expressions."""
+    chi = f"atan(sinh(atanh(sin(radians({lat}))) - {G._C!r} * atanh({G._C!r} * sin(radians({lat})))) / cos(radians({lon} - {G.LON0})))"
+    t = f"sinh(atanh(sin(radians({lat}))) - {G._C!r} * atanh({G._C!r} * sin(radians({lat}))))"
+    eta = f"atanh(sin(radians({lon} - {G.LON0})) / sqrt(1 + {t} ** 2))"
+    east = " + ".join([eta] + [f"{a!r} * cos({2 * j} * {chi}) * sinh({2 * j} * {eta})" for j, a in enumerate(G._ALPHA, 1)])
+    north = " + ".join([chi] + [f"{a!r} * sin({2 * j} * {chi}) * cosh({2 * j} * {eta})" for j, a in enumerate(G._ALPHA, 1)])
+    scale = G.K0 * G._RECT
+    return f"{G.FE!r} + {scale!r} * ({east})", f"{G.FN - G._origin()!r} + {scale!r} * ({north})"
+
+
+X_SQL, Y_SQL = _projection("lon", "lat")
+
+
+@query(f"SELECT c_custkey, round({X_SQL}, 3) AS x, round({Y_SQL}, 3) AS y FROM (SELECT c_custkey, 126.0::DOUBLE + c_custkey % 300 / 100 AS lon, 34.0::DOUBLE + c_custkey % 400 / 100 AS lat FROM customer)")
+def projected_points(t):
+    """Longitude and latitude in metres of the projected system, to the millimetre."""
+    p = G.project(F.lit(126.0) + F.col("c_custkey") % 300 / 100, F.lit(34.0) + F.col("c_custkey") % 400 / 100)
+    return t.customer.select("c_custkey", p.alias("p")).select("c_custkey", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))

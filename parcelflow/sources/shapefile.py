@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelflow.functions import geometry as G
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 #: Rows handed on at a time.
 BATCH = 1000
@@ -85,3 +87,18 @@ def shapes(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("cp949"
 
     both = files("shp").join(files("dbf"), "path", "left").select("path", "shp", "dbf")
     return both.mapInPandas(parse, f"path string, row_no long, attrs map<string,string>, rings {RINGS}")
+
+
+def parts(rings: Column) -> Column:
+    """The rings of a record as polygons: outer rings run clockwise, and a hole belongs to the outer ring that its first vertex lies in."""
+    outer = F.filter(rings, lambda r: G.signed_area(r) < 0)
+    holes = F.filter(rings, lambda r: G.signed_area(r) >= 0)
+    return F.transform(outer, lambda o: F.concat(F.array(o), F.filter(holes, lambda h: G.contains(o, h[0]["x"], h[0]["y"]))))
+
+
+def units(spark: SparkSession, path: str, code: str | None = None, to_metres: bool = False, **how) -> DataFrame:
+    """(attrs as columns of attrs, polygons): unit polygons as shapes of several parts, perhaps only one unit's, perhaps projected."""
+    rows = shapes(spark, path, **how)
+    rows = rows if code is None else rows.where(F.col("attrs")["adm_cd"] == code)
+    polygons = parts(F.col("rings"))
+    return rows.select("attrs", (G.projected(polygons) if to_metres else polygons).alias("polygons"))

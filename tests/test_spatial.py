@@ -176,3 +176,9 @@ def test_profiles(spark):
     got = P.dark_frames(spark.createDataFrame([(values,)], "profile array<double>")).first()["runs"]
     assert [(x["first"], x["last"]) for x in got] == [(10, 14), (45, 45)] and got[0]["depth"] == 120.0
     assert spark.range(1).select(P.merged_lines(F.array(*map(F.lit, (1.0, 2.0, 10.0, 2.5))), 2.0)).first()[0] == [pytest.approx(5.5 / 3), 10.0]
+
+
+def test_units_from_shapefile(spark, tmp_path):
+    (tmp_path / "u.shp").write_bytes(shp([[SQUARE, HOLE]]))
+    got = shapefile.units(spark, str(tmp_path)).select(F.size("polygons").alias("n"), F.size(F.col("polygons")[0]).alias("rings"), G.multi_area(F.col("polygons")).alias("area")).first()
+    assert tuple(got) == (1, 2, 15.0)
