@@ -27,7 +27,7 @@ BLOCK, SEED, WEIGHTS, SHARE, MOST = 1024, 7, (3, 1, 2), 1.5, 2
 #: Slots of an output shard at least; there are never more than MAX_SHARDS, so the draws stay a small table.
 SHARD_SLOTS, MAX_SHARDS = 4096, 4096
 #: Documents of a chunk in which offsets are added up.
-CHUNK = 8192
+CHUNK = 2048
 #: So many sources at most: a short row for each goes to the driver, and to the tasks.
 MAX_SOURCES = 10_000
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from parcelflow.llm import line_dedup, quality
+from parcelflow.llm import line_dedup, quality, sharding
 
 W = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -49,8 +49,21 @@ bad AS (SELECT DISTINCT doc_id FROM s JOIN best USING (stratum) WHERE score > cu
 q AS (SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept FROM f LEFT JOIN bad USING (doc_id))"""
 
 
+def sharding_sql(docs: str = "documents", limit: int = sharding.LIMIT) -> str:
+    """Every prefix of every path is summed up, and each row takes its shortest that fits. Rows of one path that don't fit are paged."""
+    bits = lambda c: f"lpad(bin(('0x' || substr(md5({c}), 1, 16))::UBIGINT), 64, '0')"
+    return f"""
+WITH p AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, {bits("coalesce(doc_id::VARCHAR, '')")} || {bits("coalesce(text, '')")} AS path, row_number() OVER () AS row_no FROM {docs}),
+u AS (SELECT path, sum(n_bytes) AS b, count(*) AS n, any_value(n_bytes) AS each FROM p GROUP BY path),
+x AS (SELECT u.*, d, sum(b) OVER w AS all_b, sum(n) OVER w AS all_n FROM u, range(0, {sharding.BITS + 1}) AS t(d) WINDOW w AS (PARTITION BY d, left(path, d))),
+s AS (SELECT path, min(d) FILTER (all_b <= {limit} OR all_n = 1) AS depth FROM x GROUP BY path)
+SELECT doc_id, n_bytes, left(path, coalesce(depth, {sharding.BITS})) AS shard, coalesce(depth, {sharding.BITS})::BIGINT AS depth,
+       CASE WHEN depth IS NULL THEN (row_number() OVER (PARTITION BY path ORDER BY row_no) - 1) // greatest(1, {limit} // n_bytes) ELSE 0 END::BIGINT AS page FROM p JOIN s USING (path)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_sharding": sharding_sql(),
         "op3_line_dedup": line_dedup_sql(),
         "op10_quality": f"WITH {quality_with()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM q",
     }

@@ -297,6 +297,19 @@ def test_sharding(spark, limit):
     assert sharding.shards(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [100, 1500])
+def test_sharding_equals_its_sql(spark, tmp_path, limit):
+    import duckdb
+
+    from parcelflow.llm.oracles import sharding_sql
+
+    rows = awkward() + [(800, "same text of some length", None, None, None, None, None)] * 30
+    docs = table(spark, rows)
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/d")
+    want = duckdb.sql(sharding_sql(f"'{tmp_path}/d/*.parquet'", limit)).fetchall()
+    assert plain(sharding.shards(docs, limit=limit).collect()) == plain(want)
+
+
 def test_shards_are_written_whole(spark, tmp_path):
     rows = awkward() + [(800, "same text of some length", None, None, None, None, None)] * 30
     docs = table(spark, rows).withColumn("path", F.lit("p")).withColumn("depth", F.lit(3))
