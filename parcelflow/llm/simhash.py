@@ -12,9 +12,12 @@ at least 46 bits.
 
 64 bits tell little of a similarity of 0.8 (about 10 bits differ), so texts alike by their shingles are found another way, on
 request: by MinHash, BANDS keys of ROWS values. Two shingle sets of Jaccard similarity 0.8 share no key with a chance of 5e-8.
-Of the sets under one key, each is held against one leader; then all pairs of different components are. Every link is verified
-on the whole sets. Many sets of one key that are not alike cost their pairs, which are told apart by length and one bit of each
-MinHash value before the sets are looked at (a pair of similarity 0.8 fails that with a chance of about 9e-07).
+Of the sets under one key, each is held against one leader; then pairs of different components are. Every link is verified on the
+whole sets. Before that, pairs are told apart by length, by one bit of each MinHash value (a pair of similarity 0.8 fails that with a
+chance of about 9e-07), and by two bounds on what they can have in common: shingles that a set has to itself are shared
+with no other, and of the leader's shingles both have only those that neither lacks (which ones a set lacks is told when
+it is held against its leader, in 256 bits). The leader is the set with the least share of shingles to itself, so copies changed in
+few places are linked to it, and the bounds part those changed in many. Pairs that pass all this are verified.
 """
 
 from __future__ import annotations
@@ -120,25 +123,51 @@ def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFra
     wanted = filed.select("sh").distinct().join(sets, "sh").select("sh", F.col("node").alias("th"))
     held = texts.join(wanted, "th").dropDuplicates(["sh"]).select("sh", _shingles(F.col("text"), width).alias("set"))
     held = durable(held, "sets")
+    single = held.select("sh", F.explode("set").alias("x")).groupBy("x").agg(F.min("sh").alias("sh"), F.count("*").alias("n")).where("n = 1")
+    single = single.groupBy("sh").agg(F.count("*").alias("u"))
+    # u: shingles that no other set has
+    filed = durable(filed.join(single, "sh", "left").select("key", "sh", "n", "b0", "b1", F.coalesce("u", F.lit(0)).alias("u")), "counted")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (x, y) of filed rows, the links (u, v) of sets."""
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (x, y) of filed rows, those that may be similar."""
         agree = BANDS * ROWS - F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) - F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
         may = (agree >= AGREE) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n"))
-        pairs = pairs.where(may).select(F.least("x.sh", "y.sh").alias("u"), F.greatest("x.sh", "y.sh").alias("v")).where("u <> v").distinct()
-        pairs = pairs.join(held.toDF("u", "us"), "u").join(held.toDF("v", "vs"), "v")
-        common = F.size(F.array_intersect("us", "vs"))
-        return pairs.where(common >= F.lit(least) * (F.size("us") + F.size("vs") - common)).select("u", "v")
-
-    row = F.struct("sh", "n", "b0", "b1")
-    led = filed.groupBy("key").agg(F.min_by(row, F.xxhash64("sh", "key")).alias("x"))
-    first = durable(verified(filed.select("key", row.alias("y")).join(led, "key")), "led")
+        common = F.least(F.col("x.n") - F.col("x.u"), F.col("y.n") - F.col("y.u"))  # no more than this
+        return pairs.where(may & enough(common, F.col("x.n"), F.col("y.n")))
+
+    def enough(common: Column, m: Column, n: Column) -> Column:
+        return common * (1 + least) >= F.lit(least) * (m + n) - 1e-6
+
+    row = F.struct("sh", "n", "b0", "b1", "u")
+    led = durable(filed.groupBy("key").agg(F.min_by(row, F.struct(F.col("u") / F.col("n"), F.xxhash64("sh", "key"))).alias("x")), "leaders")
+    pairs = alike(filed.select("key", row.alias("y")).join(led, "key")).select(F.col("x.sh").alias("lead"), F.col("y.sh").alias("sh")).where("lead <> sh").distinct()
+    pairs = pairs.join(held.toDF("lead", "ls"), "lead").join(held, "sh")
+    lacks = F.array_except("ls", "set")
+    word = lambda k: F.aggregate(F.filter("lacks", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda w, x: w.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    # against its leader: shingles in common, how many of the leader's are lacking, and which, in 256 bits by hash
+    told = pairs.select("lead", "sh", F.size("ls").alias("nl"), F.size("set").alias("n"), lacks.alias("lacks")).withColumn("m", F.size("lacks"))
+    told = durable(told.select("lead", "sh", "nl", "n", "m", *[word(k).alias(f"w{k}") for k in range(4)]), "led")
+    first = told.where(enough(F.col("nl") - F.col("m"), F.col("nl"), F.col("n"))).select(F.least("lead", "sh").alias("u"), F.greatest("lead", "sh").alias("v"))
     groups = connected_components(first)
-    placed = filed.join(groups.withColumnRenamed("node", "sh"), "sh", "left").select("key", row.alias("x"), F.coalesce("component", "sh").alias("c"))
+    placed = filed.join(groups.withColumnRenamed("node", "sh"), "sh", "left").withColumn("c", F.coalesce("component", "sh"))
     apart = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
-    placed = durable(placed.join(apart, "key"), "placed")
+    placed = placed.join(apart, "key").join(led.select("key", F.col("x.sh").alias("lead"), F.col("x.n").alias("nl")), "key")
+    placed = placed.join(told.drop("nl", "n"), ["lead", "sh"], "left")
+    own = F.col("sh") == F.col("lead")
+    more = [F.when(own, 0).otherwise(F.col(c)).alias(c) for c in ("m", "w0", "w1", "w2", "w3")]
+    placed = durable(placed.select("key", "c", F.struct("sh", "n", "b0", "b1", "u", "nl", *more).alias("x")), "placed")
     other = placed.select("key", F.col("x").alias("y"), F.col("c").alias("d"))
-    second = verified(placed.join(other, "key").where("c < d"))
+    both = sum((F.bit_count(F.col(f"x.w{k}").bitwiseAND(F.col(f"y.w{k}"))) for k in range(4)), F.lit(0))
+    doubled = lambda r: F.col(f"{r}.m") - sum((F.bit_count(f"{r}.w{k}") for k in range(4)), F.lit(0))
+    # what both lack of their leader is at most the bits they share, and what one of them has on a bit twice
+    lacked = F.least(both + F.least(doubled("x"), doubled("y")), F.col("x.m"), F.col("y.m"))
+    extra = lambda r: F.col(f"{r}.n") - (F.col(f"{r}.nl") - F.col(f"{r}.m")) - F.col(f"{r}.u")
+    common = F.col("x.nl") - F.col("x.m") - F.col("y.m") + lacked + F.least(extra("x"), extra("y"))
+    near = alike(placed.join(other, "key").where("c < d")).where(F.coalesce(enough(common, F.col("x.n"), F.col("y.n")), F.lit(True)))
+    near = durable(near.select(F.least("x.sh", "y.sh").alias("u"), F.greatest("x.sh", "y.sh").alias("v")).distinct(), "candidates")
+    near = near.join(held.toDF("u", "us"), "u").join(held.toDF("v", "vs"), "v")
+    common = F.size(F.array_intersect("us", "vs"))
+    second = near.where(enough(common, F.size("us"), F.size("vs"))).select("u", "v")
     name = lambda c: sets.select(F.col("sh").alias(c), F.col("node").alias(f"{c}_node"))
     near = first.union(second).join(name("u"), "u").join(name("v"), "v").select(F.col("u_node").alias("th"), F.col("v_node").alias("other"))
     return durable(equal.union(near), "similar")
