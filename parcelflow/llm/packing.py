@@ -23,7 +23,7 @@ from parcelflow.llm.common import durable, whole
 SIZES = (512, 1024, 2048, 4096, 8192)
 GROUP, REPEATS = 4096, 64
 #: Texts whose token counts a task remembers.
-KNOWN = 200_000
+KNOWN = 50_000
 
 
 def cost(size: int, sizes=SIZES) -> float:

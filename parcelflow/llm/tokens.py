@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -66,14 +67,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {"": b""}, {}
-        with open(path, encoding="utf-8") as file:
-            told = json.load(file)
-        model = told.get("model", {})
-        self.by_parts = all(told.get(k) == v for k, v in BY_PARTS.items()) and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>"
-        self.by_parts &= not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
-        self.by_parts &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in told.get("added_tokens", []))
+        model, added = self.tokenizer.model, self.tokenizer.get_added_tokens_decoder().values()
+        parts = {"normalizer": self.tokenizer.normalizer, "pre_tokenizer": self.tokenizer.pre_tokenizer}
+        self.by_parts = isinstance(model, BPE) and model.end_of_word_suffix == "</w>" and all(v is not None and json.loads(v.__getstate__()) == BY_PARTS[k] for k, v in parts.items())
+        self.by_parts = self.by_parts and not any(getattr(model, k, None) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+        self.by_parts = self.by_parts and not any(t.lstrip or t.rstrip or t.single_word or t.normalized or t.content.split() != [t.content] or t.content.isalpha() for t in added)
         vocab = self.tokenizer.get_vocab()
         self.width = 2 if max(len(vocab), *vocab.values(), end_id) < 1 << 16 else 4
         self.kind, self.end = np.dtype(f"<u{self.width}"), end_id.to_bytes(self.width, "little")
@@ -105,7 +106,12 @@ class Encoder:
         # ASCII letters are lower-cased first, so that a word and its capitalised form are encoded once
         plain = {y: y.lower() if y.isascii() else y for y in letters}
         ask = [y for y in set(plain.values()) if y not in cache]
-        w = self.width
+        w, split, code = self.width, self.tokenizer.model.tokenize, {2: "H", 4: "I"}[self.width]
+        # words of a to z are the model's own words, which nothing before it changes
+        for y in ask:
+            if y.isascii():
+                cache[y] = array(code, [t.id for t in split(y)]).tobytes()
+        ask = [y for y in ask if y not in cache]
         for a in range(0, len(ask), 1000):
             some = ask[a : a + 1000]
             ids = self.ids(" ".join(some))
@@ -120,7 +126,7 @@ class Encoder:
                 cache[y] = cache[x]
         rest = [y for y in new if y not in cache]
         for y, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            cache[y] = np.array(found.ids, self.kind).tobytes()
+            cache[y] = array(code, found.ids).tobytes()
         for x, y, z in cut:
             cache[x] = cache[y] + cache[z]
 
