@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StructType
 
 from parcelflow.llm.common import durable, unpacked, whole
 from parcelflow.llm.components import connected_components
@@ -32,6 +32,8 @@ from parcelflow.llm.components import connected_components
 HOT = 1000
 #: Shingles hashed at a time, so that a text of any length takes bounded memory.
 CHUNK = 1 << 16
+#: Texts of a batch worked on at a time.
+SLICE = 128
 BANDS, ROWS = 32, 4
 #: Of BANDS * ROWS bits, so many agree at least for a pair to be verified: 115 are expected at similarity 0.8, give or take 3.4.
 AGREE = 97
@@ -89,24 +91,49 @@ def sketch(h) -> tuple[int, int, list[int], list[int]]:
     return signed(xxh64_intdigest(h.tobytes(), 1)), len(h), keys, np.packbits(bit).view("<i8").tolist()
 
 
-def _sketches(text: Column, width: int) -> Column:
-    import pandas as pd
+def _each(rows: DataFrame, added: str, of) -> DataFrame:
+    """rows(..., text) with the columns `added` in the place of text: of(texts) gives their Arrow arrays.
+
+    SLICE texts are worked on at a time, so a worker never holds the values of a whole batch.
+    """
+    schema = StructType([*rows.drop("text").schema.fields, *StructType.fromDDL(added).fields])
+
+    def replaced(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                some = batch.slice(a, SLICE)
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], *of(some.columns[-1].to_pylist())], schema.names)
+
+    return rows.mapInArrow(replaced, schema)
+
+
+def _sketches(rows: DataFrame, width: int) -> DataFrame:
+    """rows(..., text) -> (..., sh, n, keys, bits)."""
 
-    @pandas_udf("sh long, n long, keys array<long>, bits array<long>")
     def of(texts):
-        return pd.DataFrame([sketch(shingles(t, width)) for t in texts], columns=["sh", "n", "keys", "bits"])
+        import pyarrow as pa
+
+        found = [sketch(shingles(t, width)) for t in texts]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
 
-    return of(text)
+    return _each(rows, "sh long, n long, keys array<long>, bits array<long>", of)
 
 
-def _shingles(text: Column, width: int) -> Column:
-    import pandas as pd
+def _shingles(rows: DataFrame, width: int) -> DataFrame:
+    """rows(..., text) -> (..., set)."""
 
-    @pandas_udf("array<long>")
     def of(texts):
-        return pd.Series([shingles(t, width).view("int64") for t in texts])
+        import numpy as np
+        import pyarrow as pa
+
+        found = [shingles(t, width).view(np.int64) for t in texts]
+        ends = np.cumsum([0, *map(len, found)])
+        return [pa.LargeListArray.from_arrays(ends, np.concatenate(found)).cast(pa.list_(pa.int64()))]
 
-    return of(text)
+    return _each(rows, "set array<long>", of)
 
 
 def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
@@ -114,15 +141,14 @@ def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFra
     if least < 0.8:
         raise ValueError("the keys and bits are laid out for similarities of 0.8 and more")
     texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    marks = durable(texts.select("th", _sketches(whole("text"), width).alias("s")).select("th", "s.*"), "sketches").where("n > 0")
+    marks = durable(_sketches(texts.select("th", whole("text").alias("text")), width), "sketches").where("n > 0")
     sets = marks.groupBy("sh").agg(F.min("th").alias("node"))
     equal = marks.select("th", "sh").join(sets, "sh").where("th <> node").select("th", F.col("node").alias("other"))
     filed = marks.select("sh", "n", F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.explode("keys").alias("key")).distinct()
     shared = filed.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b").select("key")
     filed = durable(filed.join(shared, "key"), "filed")
     wanted = filed.select("sh").distinct().join(sets, "sh").select("sh", F.col("node").alias("th"))
-    held = texts.join(wanted, "th").dropDuplicates(["sh"]).select("sh", _shingles(F.col("text"), width).alias("set"))
-    held = durable(held, "sets")
+    held = durable(_shingles(texts.join(wanted, "th").dropDuplicates(["sh"]).select("sh", "text"), width), "sets")
     single = held.select("sh", F.explode("set").alias("x")).groupBy("x").agg(F.min("sh").alias("sh"), F.count("*").alias("n")).where("n = 1")
     single = single.groupBy("sh").agg(F.count("*").alias("u"))
     # u: shingles that no other set has
@@ -173,19 +199,20 @@ def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFra
     return durable(equal.union(near), "similar")
 
 
-def _fingerprints(text: Column) -> Column:
-    import pandas as pd
+def _fingerprints(rows: DataFrame) -> DataFrame:
+    """rows(..., text) -> (..., fp)."""
+
+    def of(texts):
+        import pyarrow as pa
 
-    @pandas_udf("long")
-    def signed(texts):
-        return pd.Series([((x := fingerprint(t)) ^ (1 << 63)) - (1 << 63) for t in texts], dtype="int64")
+        return [pa.array([((x := fingerprint(t)) ^ (1 << 63)) - (1 << 63) for t in texts], pa.int64())]
 
-    return signed(text)
+    return _each(rows, "fp long", of)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row for each row of docs, fp as a signed long. Null and empty texts have fingerprint 0."""
-    return docs.select(F.col(id_col), _fingerprints(whole(text_col)).alias("fp"))
+    return _fingerprints(docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))).toDF(id_col, "fp")
 
 
 def quarters(mask: int) -> list[int]:
@@ -241,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         alike = similar(rows, "text", width, least)
         ends = alike.select(F.explode(F.array("th", "other")).alias("th")).distinct()
         of_text = rows.select(F.xxhash64("text").alias("th"), "text").join(ends, "th").dropDuplicates(["th"])
-        of_text = durable(of_text.select("th", _fingerprints(whole("text")).alias("fp")), "ends")
+        of_text = durable(_fingerprints(of_text.select("th", whole("text").alias("text"))), "ends")
         found = found.union(alike.join(of_text.toDF("th", "u"), "th").join(of_text.toDF("other", "v"), "other").select("u", "v"))
     groups = connected_components(found)
     joined = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("class_fp"))
