@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import json
+import string
 import zlib
 from array import array
 
@@ -48,18 +49,60 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-MARKS = ",.;:!?"
+class Parts(dict):
+    """Part of a text -> its ids as bytes, for the tokenizers that Encoder takes part by part. What is missing is encoded and, up to
+    LONG characters, remembered in two generations of at most CACHE / 2 each (and what one call of the encoder adds): the older
+    one's parts move back as they are met, so those in use stay known."""
+
+    def __init__(self, tokenizer, kind: str, older: dict | None = None):
+        super().__init__({"": b""})
+        self.tokenizer, self.kind, self.older = tokenizer, kind, older or {}
+        self.split = tokenizer.model.tokenize
+        # no mark that occurs in an added token may be cut off
+        added = "".join(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        self.marks = "".join(c for c in string.punctuation if c not in added)
+        # Latin letters as the model sees them; none changes beside another
+        self.letters = {}
+        for c in filter(str.isalpha, map(chr, range(256))):
+            ((piece, _),) = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(c))
+            self.letters[ord(c)] = piece
+
+    def next(self) -> Parts:
+        """A new generation, to which this one is the older."""
+        young = Parts.__new__(Parts, {})
+        young.__dict__.update(self.__dict__)
+        young[""], young.older = b"", self
+        self.older = {}
+        return young
+
+    def __missing__(self, x: str) -> bytes:
+        found = self.older.get(x)
+        if found is None:
+            if x[-1] in self.marks and (y := x.rstrip(self.marks)) and y[-1].lower()[-1].isalnum():  # some letter's lower case ends in a mark
+                found = self[y] + self[x[len(y) :]]
+            elif not x.isalpha():
+                found = self.plain(x)
+            elif not x.isascii():
+                found = self.word(x.translate(self.letters)) if max(x) < "\u0100" else self.plain(x)
+            else:
+                low = x.lower()
+                found = self.word(x) if low == x else self[low]
+        if len(x) <= LONG:
+            self[x] = found
+        return found
+
+    def word(self, letters: str) -> bytes:
+        return array(self.kind, [t.id for t in self.split(letters)]).tobytes()
+
+    def plain(self, x: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids).tobytes()
 
 
 class Encoder:
     """Ids of whole texts. A tokenizer with the settings BY_PARTS and words ending in </w> drops white space and never looks past it, so
     a text's ids are those of its parts between spaces, tabs and line ends, in order; parts seen before are not encoded again. A new
-    part is cut before the marks it ends in, where the tokenizer itself starts another word. What remains and is letters only is one
-    word to it, whose last id is one that ends words: such parts are encoded many at a time and told apart by that. Any other
-    tokenizer encodes whole texts plainly.
-
-    Parts of at most LONG characters are remembered, in two generations of at most CACHE / 2 each (and what one call adds): when the
-    newer is full it becomes the older, whose parts move back as they are met, so those in use stay known."""
+    part is cut before the ASCII marks it ends in, where the tokenizer itself starts another word. What remains and is Latin letters
+    only is one word of the model. Any other tokenizer encodes whole texts plainly."""
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -69,7 +112,7 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
-        self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {"": b""}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         model, added = self.tokenizer.model, self.tokenizer.get_added_tokens_decoder().values()
         parts = {"normalizer": self.tokenizer.normalizer, "pre_tokenizer": self.tokenizer.pre_tokenizer}
         self.by_parts = isinstance(model, BPE) and model.end_of_word_suffix == "</w>" and all(v is not None and json.loads(v.__getstate__()) == BY_PARTS[k] for k, v in parts.items())
@@ -78,57 +121,7 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.width = 2 if max(len(vocab), *vocab.values(), end_id) < 1 << 16 else 4
         self.kind, self.end = np.dtype(f"<u{self.width}"), end_id.to_bytes(self.width, "little")
-        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends_word[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
-
-    def ids(self, text: str):
-        import numpy as np
-
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-
-    def learn(self, parts: set[str]) -> None:
-        """Add new parts to the cache."""
-        import numpy as np
-
-        cache = self.cache
-        if known := self.older.keys() & parts:
-            cache.update((x, self.older[x]) for x in known)
-            parts = parts - known
-        new, cut = set(), []
-        for x in parts:
-            if x[-1] in MARKS and (y := x.rstrip(MARKS)) and y[-1].isalnum():
-                cut.append((x, y, x[len(y) :]))
-            else:
-                new.add(x)
-        new.update(y for _, y, _ in cut if y not in cache)
-        new.update(z for z in {z for _, _, z in cut} if z not in cache)
-        letters = [y for y in new if y.isalpha()]
-        # ASCII letters are lower-cased first, so that a word and its capitalised form are encoded once
-        plain = {y: y.lower() if y.isascii() else y for y in letters}
-        ask = [y for y in set(plain.values()) if y not in cache]
-        w, split, code = self.width, self.tokenizer.model.tokenize, {2: "H", 4: "I"}[self.width]
-        # words of a to z are the model's own words, which nothing before it changes
-        for y in ask:
-            if y.isascii():
-                cache[y] = array(code, [t.id for t in split(y)]).tobytes()
-        ask = [y for y in ask if y not in cache]
-        for a in range(0, len(ask), 1000):
-            some = ask[a : a + 1000]
-            ids = self.ids(" ".join(some))
-            stops = (self.ends_word[ids].nonzero()[0] + 1) * w
-            if len(stops) == len(some):
-                raw, at = ids.tobytes(), 0
-                for y, stop in zip(some, stops.tolist()):
-                    cache[y] = raw[at:stop]
-                    at = stop
-        for y, x in plain.items():
-            if x in cache:
-                cache[y] = cache[x]
-        rest = [y for y in new if y not in cache]
-        for y, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            cache[y] = array(code, found.ids).tobytes()
-        for x, y, z in cut:
-            cache[x] = cache[y] + cache[z]
+        self.cache = Parts(self.tokenizer, {2: "H", 4: "I"}[self.width]) if self.by_parts else {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_parts:
@@ -137,18 +130,9 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(x.ids, self.kind).tobytes() + self.end for x in found]
         if len(self.cache) > CACHE // 2:
-            self.cache, self.older = {"": b""}, self.cache
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*parts).difference(self.cache)
-        if new:
-            self.learn(new)
+            self.cache = self.cache.next()
         get = self.cache.__getitem__
-        out = [b"".join(map(get, p)) + self.end for p in parts]
-        for x in new:
-            if len(x) > LONG:
-                for y in (x, x.rstrip(MARKS), x.lower(), x.rstrip(MARKS).lower()):
-                    self.cache.pop(y, None)
-        return out
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) + self.end for t in texts]
 
 
 @functools.lru_cache(1)

@@ -266,6 +266,17 @@ def test_long_parts_are_not_remembered():
     assert e([*long, "short words"]) == first and not any(len(x) > tokens.LONG for x in e.cache)
 
 
+def test_parts_encode_as_the_tokenizer_does(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 400)
+    e, r = tokens.Encoder(tokens.vocabulary(), 2), random.Random(4)
+    letters = "aBcdzÉßñªºµÿ×'‘’.,!?<|>#&*-_/\\@()$%^~`+=:;\"0129½²Ⅷ \t\n\r\xa0\u2003e\u0301\u0338éİςΣя你😀"
+    whole = ["<|endoftext|>", "<|startoftext|>", "'s", "'re", "</w>", "don't"]
+    texts = ["".join(r.choice(whole if r.random() < 0.06 else letters) for _ in range(r.randrange(40))) for _ in range(6000)] + ["*İ#", "Ab.", "ab'.", "aB's'"]
+    found = [x for k in range(0, len(texts), 100) for x in e(texts[k : k + 100])]
+    assert e.cache.older and len(e.cache) + len(e.cache.older) < 3000
+    assert [np.frombuffer(x, e.kind).tolist() for x in found] == [[*x.ids, 2] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_perfect_hash_is_minimal():
     for n in (0, 1, 2, 3, 50, 2000):
         keys = random.Random(n).sample(range(-(10**12), 10**12), n)
