@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geometry as G
+from parcelflow.functions import signed as J
 from parcelflow.functions import text as X
 from parcelflow.operators import relational as R
 from parcelflow.operators import spatial as P
@@ -88,6 +89,29 @@ def account_gates(t):
     return rows.select(F.col("c_custkey").alias("account"), "level", (F.col("level") < 2).alias("may_edit"), (F.col("level") < 3).alias("may_log_in"), valid.alias("token_valid"))
 
 
+KEYS = ("review-key", "another-key")
+
+
+def _signed_sql() -> str:
+    url = "translate(base64({0}), '+/=', '-_')".format
+    blob = lambda b: f"unhex('{b.hex()}')"
+    hmac = lambda key: "unhex(sha256({1} || unhex(sha256({0} || encode(body)))))".format(*map(blob, J.pads(key)))
+    head = url("""encode('{"alg":"HS256","typ":"JWT"}')""")
+    payload = """'{"sub":"' || c_custkey || '","role":"normal","iat":900000000,"exp":' || (900000000 + c_nationkey * 60) || '}'"""
+    body = f"SELECT c_custkey, c_nationkey, {head} || '.' || {url(f'encode({payload})')} AS body FROM customer"
+    mark = f"CASE WHEN c_custkey % 2 = 0 THEN {url(hmac(KEYS[0]))} ELSE {url(hmac(KEYS[1]))} END"
+    return f"SELECT c_custkey AS account, body || '.' || {mark} AS token, CASE WHEN c_custkey % 2 = 0 AND c_nationkey > 10 THEN c_custkey || '' END AS sub FROM ({body})"
+
+
+@query(_signed_sql())
+def signed_tokens(t):
+    """Tokens of accounts, and whom those name that one key signed and that have not expired ten minutes later."""
+    payload = F.format_string('{"sub":"%d","role":"normal","iat":900000000,"exp":%d}', F.col("c_custkey").cast("long"), 900000000 + F.col("c_nationkey").cast("long") * 60)
+    token = F.when(F.col("c_custkey") % 2 == 0, J.sign(payload, KEYS[0])).otherwise(J.sign(payload, KEYS[1]))
+    rows = t.customer.select(F.col("c_custkey").alias("account"), token.alias("token"))
+    return rows.withColumn("sub", F.get_json_object(J.claims(F.col("token"), KEYS[0], F.lit(900000600)), "$.sub"))
+
+
 @query("SELECT adm_cd, adm_nm, sgg_cd FROM node WHERE sgg_cd = 7")
 def visible_units(t):
     """A normal account sees the rows of its own unit."""

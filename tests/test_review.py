@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geometry as G
+from parcelflow.functions import signed as J
 from parcelflow.functions import text as X
 from parcelflow.operators import codes as C
 from parcelflow.operators import relational as R
@@ -306,3 +307,21 @@ def test_files_on_disk(spark, tmp_path):
     assert found.count() == 5 and N.bodies(found).count() == 1 and N.duplicate_sheets(found).first()["copies"] == 2
     assert {tuple(r)[:3] for r in N.documents(found).collect()} == {("main", "12345678", None)}
     assert N.documents_over_images(found).count() == 4  # hidden folders are not listed
+
+
+def test_signed_tokens(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    url = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    for key in ("k", "x" * 64, "ß" * 100):
+        for payload in ('{"sub":"é?>~"}', '{"exp":99}', '{"exp":101}', '{"exp":"soon"}', "", None):
+            token = payload if payload is None else f"{url(b'{"alg":"HS256","typ":"JWT"}')}.{url(payload.encode())}"
+            token = token and f"{token}.{url(hmac.new(key.encode(), token.encode(), hashlib.sha256).digest())}"
+            plain = f"{url(b'{"alg":"none"}')}.{url((payload or '').encode())}"
+            plain += "." + url(hmac.new(key.encode(), plain.encode(), hashlib.sha256).digest())
+            rows = spark.createDataFrame([(payload, token, plain)], "payload string, token string, plain string")
+            read = lambda c, k=key: J.claims(c, k, F.lit(100))
+            got = rows.select(J.sign(F.col("payload"), key), read(F.col("token")), read(F.col("token"), "other"), read(F.concat("token", F.lit("."))), read(F.col("plain")), read(F.lit("a.?.b"))).first()
+            assert tuple(got) == (token, None if payload in ('{"exp":99}', '{"exp":"soon"}') else payload, None, None, None, None)
