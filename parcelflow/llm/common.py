@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: A small table's files: so many for each core, or one for so many rows if that makes more.
+FILES_A_CORE, FILE_ROWS = 2, 200_000
 _ends = False
 
 
@@ -43,14 +45,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/parcelflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs only its running tasks.
 
+    most: the rows it has at most, where that is known. A small table then comes in few files, however many tasks its shuffles have:
+    on a local path Hadoop forks a process (chmod) for each file and folder made, and until that runs, the JVM's memory reads twice.
+
     The tables lie in <spark.checkpoint.dir>/parcelflow/<application id>/. Those that nothing reads any more go by discard, the rest by
     release.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    if most is not None:
+        df = df.coalesce(max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-most // FILE_ROWS)))
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._durable_path = path
     return kept

@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = durable(fingerprints(rows, "id", "text"), "fingerprints")
-    reps = durable(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    n = prints.count()
+    reps = durable(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes", n)
     found = links(reps.select("fp"), max_bits)
     if least is not None:
         alike = similar(rows, "text", width, least)
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = found.union(alike.join(of_text.toDF("th", "u"), "th").join(of_text.toDF("other", "v"), "other").select("u", "v"))
     groups = connected_components(found)
     joined = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("class_fp"))
-    joined = durable(joined, "labelled")
+    joined = durable(joined, "labelled", n)
     smallest = joined.groupBy("class_fp").agg(F.min("rep").alias("component_id"))
     return prints.join(joined.join(smallest, "class_fp").select("fp", "class_fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "class_fp", "component_id")
 

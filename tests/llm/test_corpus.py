@@ -31,6 +31,17 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_stars_are_read_off(spark, monkeypatch):
+    """Each v of stars is its component's smallest node already, so nothing is written but the links; a path of 4 takes more."""
+    written, keep = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df, *rest: written.append(rest) or keep(df, *rest))
+    stars = [(100 * k + i, 100 * k) for k in range(3) for i in range(1, 40)]
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(stars, "u long, v long")).collect()))
+    assert got == dict(stars) | {v: v for _, v in stars} and len(written) == 1
+    path = components.connected_components(spark.createDataFrame([(4, 3), (3, 2), (2, 1)], "u long, v long"))
+    assert dict(map(tuple, path.collect())) == {1: 1, 2: 1, 3: 1, 4: 1} and len(written) > 2
+
+
 def test_packing(spark):
     r = random.Random(3)
     sizes = [r.choice([1, 5, 700, 3000, 8192, r.randint(1, 8192)]) for _ in range(3000)]

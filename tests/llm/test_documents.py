@@ -71,6 +71,36 @@ def test_simhash_links_are_complete(spark, hot):
     assert got == {frozenset((a, b)) for a in signed for b in signed if 0 < ((a & m) ^ (b & m)).bit_count() <= 3}
 
 
+def few_files(spark, monkeypatch, module, run, *names):
+    """The tables `names` that run() writes by module.durable come in few files, whatever the number of shuffle partitions; run()'s rows."""
+    found, keep = {}, module.durable
+
+    def durable(df, name, *rest):
+        made = keep(df, name, *rest)
+        found.setdefault(name, []).append(len(made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(module, "durable", durable)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = run().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert {name for name in names if max(found[name]) > most} == set(), found
+    return rows
+
+
+def test_simhash_writes_small_tables_in_few_files(spark, monkeypatch):
+    rows = [(i, f"word{i} and some others, {i * i} of them", None, None, None, None, None) for i in range(400)]
+    got = few_files(spark, monkeypatch, simhash, lambda: simhash.near_duplicates(table(spark, rows)), "classes", "labelled")
+    assert len(got) == len(rows)
+
+
 def test_simhash_keeps_one(spark):
     rows = awkward()
     docs = table(spark, rows)
