@@ -142,17 +142,18 @@ def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFra
         raise ValueError("the keys and bits are laid out for similarities of 0.8 and more")
     texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     marks = durable(_sketches(texts.select("th", whole("text").alias("text")), width), "sketches").where("n > 0")
+    most = BANDS * marks.count()
     sets = marks.groupBy("sh").agg(F.min("th").alias("node"))
     equal = marks.select("th", "sh").join(sets, "sh").where("th <> node").select("th", F.col("node").alias("other"))
     filed = marks.select("sh", "n", F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.explode("keys").alias("key")).distinct()
     shared = filed.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b").select("key")
-    filed = durable(filed.join(shared, "key"), "filed")
+    filed = durable(filed.join(shared, "key"), "filed", most)
     wanted = filed.select("sh").distinct().join(sets, "sh").select("sh", F.col("node").alias("th"))
     held = durable(_shingles(texts.join(wanted, "th").dropDuplicates(["sh"]).select("sh", "text"), width), "sets")
     single = held.select("sh", F.explode("set").alias("x")).groupBy("x").agg(F.min("sh").alias("sh"), F.count("*").alias("n")).where("n = 1")
     single = single.groupBy("sh").agg(F.count("*").alias("u"))
     # u: shingles that no other set has
-    filed = durable(filed.join(single, "sh", "left").select("key", "sh", "n", "b0", "b1", F.coalesce("u", F.lit(0)).alias("u")), "counted")
+    filed = durable(filed.join(single, "sh", "left").select("key", "sh", "n", "b0", "b1", F.coalesce("u", F.lit(0)).alias("u")), "counted", most)
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Of the pairs (x, y) of filed rows, those that may be similar."""
@@ -165,7 +166,7 @@ def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFra
         return common * (1 + least) >= F.lit(least) * (m + n) - 1e-6
 
     row = F.struct("sh", "n", "b0", "b1", "u")
-    led = durable(filed.groupBy("key").agg(F.min_by(row, F.struct(F.col("u") / F.col("n"), F.xxhash64("sh", "key"))).alias("x")), "leaders")
+    led = durable(filed.groupBy("key").agg(F.min_by(row, F.struct(F.col("u") / F.col("n"), F.xxhash64("sh", "key"))).alias("x")), "leaders", most)
     pairs = alike(filed.select("key", row.alias("y")).join(led, "key")).select(F.col("x.sh").alias("lead"), F.col("y.sh").alias("sh")).where("lead <> sh").distinct()
     pairs = pairs.join(held.toDF("lead", "ls"), "lead").join(held, "sh")
     lacks = F.array_except("ls", "set")
@@ -181,7 +182,7 @@ def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFra
     placed = placed.join(told.drop("nl", "n"), ["lead", "sh"], "left")
     own = F.col("sh") == F.col("lead")
     more = [F.when(own, 0).otherwise(F.col(c)).alias(c) for c in ("m", "w0", "w1", "w2", "w3")]
-    placed = durable(placed.select("key", "c", F.struct("sh", "n", "b0", "b1", "u", "nl", *more).alias("x")), "placed")
+    placed = durable(placed.select("key", "c", F.struct("sh", "n", "b0", "b1", "u", "nl", *more).alias("x")), "placed", most)
     other = placed.select("key", F.col("x").alias("y"), F.col("c").alias("d"))
     both = sum((F.bit_count(F.col(f"x.w{k}").bitwiseAND(F.col(f"y.w{k}"))) for k in range(4)), F.lit(0))
     doubled = lambda r: F.col(f"{r}.m") - sum((F.bit_count(f"{r}.w{k}") for k in range(4)), F.lit(0))
