@@ -96,14 +96,15 @@ def _variants(line: Column) -> Column:
     return F.concat(F.flatten(F.transform(pieces(n), of_piece)), F.transform(pieces(n + 1), itself))
 
 
-def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str, text_col: str, near_chars: int) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier line within one edit. held: (h1, halves) of all lines; first: (h1, h2, at), each distinct line's earliest place."""
-    live = durable(_meeting(held, F.col("halves")).distinct(), "live")
+def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str, text_col: str, near_chars: int, most: int) -> DataFrame:
+    """(h1, h2) of the distinct lines that have an earlier line within one edit. held: (h1, halves) of all lines, at most `most`; first: (h1, h2, at), each distinct line's earliest place."""
+    live = durable(_meeting(held, F.col("halves")).distinct(), "live", most)
     some = F.broadcast(live) if live.count() <= SMALL else live
     lines = _lines(docs, id_col, text_col, near_chars).join(some, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
     every = durable(lines, "lines")
+    most = every.count()
     lines = every.join(_meeting(every, _without_block(F.col("line"))).distinct(), "h1", "left_semi")
-    lines = durable(lines.join(first, ["h1", "h2"]).select(F.struct("at", "h1", "h2").alias("me"), "line"), "candidates")
+    lines = durable(lines.join(first, ["h1", "h2"]).select(F.struct("at", "h1", "h2").alias("me"), "line"), "candidates", most)
     variants = lines.select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.explode(_variants(F.col("line"))).alias("v")).select("h1", "h2", "v.*")
     variants = durable(variants, "variants")  # making them costs more than keeping them
     met = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
@@ -116,7 +117,7 @@ def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str,
     pairs = held_by.join(groups, "key").select("me", other.alias("other")).where(F.col("other") < F.col("me")).distinct()
     mine, theirs = lines.toDF("me", "line"), lines.toDF("other", "earlier")
     checked = pairs.join(mine, "me").join(theirs, "other").where(F.levenshtein("line", "earlier", 1).between(0, 1))
-    near = durable(checked.select("me.h1", "me.h2").distinct(), "near")
+    near = durable(checked.select("me.h1", "me.h2").distinct(), "near", most)
     discard(live, every, lines, found)
     return near
 
@@ -127,8 +128,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     halves = F.when(F.length("line") >= near_chars, _halves(F.col("line")))
     lines = _lines(docs, id_col, text_col).withColumn("halves", halves).drop("line")
     held = durable(lines, "held")  # hashes only
-    first = durable(held.groupBy("h1", "h2").agg(F.min(place).alias("at")), "first")
-    near = near_lines(docs, held, first, id_col, text_col, near_chars)
+    most = held.count()
+    first = durable(held.groupBy("h1", "h2").agg(F.min(place).alias("at")), "first", most)
+    near = near_lines(docs, held, first, id_col, text_col, near_chars, most)
     status = first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     rows = held.select("h1", "h2", place.alias("place")).join(status, ["h1", "h2"]).where((F.col("place") > F.col("at")) | F.col("near"))
     return rows.select("place.id", "place.th", "place.pos", (F.col("place") <= F.col("at")).alias("near"))

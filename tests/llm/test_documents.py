@@ -114,6 +114,12 @@ def test_simhash_keeps_one(spark):
     assert simhash.keep_one(table(spark, [])).count() == 0
 
 
+def test_line_dedup_writes_small_tables_in_few_files(spark, monkeypatch):
+    rows = [(i, f"this line of {i:05d} is longer than the others are\nand {i * i} follows", None, None, None, None, None) for i in range(400)]
+    got = few_files(spark, monkeypatch, line_dedup, lambda: line_dedup.dedup_lines(table(spark, rows)), "first", "live", "candidates", "near")
+    assert len(got) == len(rows)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
