@@ -63,6 +63,12 @@ def durable(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     return kept
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that goes by shuffle. For a side that grows with the input: Spark's statistics see the size of the compressed
+    files and not what an explode makes of a row, so it would broadcast a table many times larger than its threshold through the driver."""
+    return df.hint("merge")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from parcelflow.llm.common import durable, unpacked, whole
+from parcelflow.llm.common import durable, shuffled, unpacked, whole
 from parcelflow.llm.components import connected_components
 
 HOT = 1000
@@ -144,16 +144,16 @@ def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFra
     marks = durable(_sketches(texts.select("th", whole("text").alias("text")), width), "sketches").where("n > 0")
     most = BANDS * marks.count()
     sets = marks.groupBy("sh").agg(F.min("th").alias("node"))
-    equal = marks.select("th", "sh").join(sets, "sh").where("th <> node").select("th", F.col("node").alias("other"))
+    equal = marks.select("th", "sh").join(shuffled(sets), "sh").where("th <> node").select("th", F.col("node").alias("other"))
     filed = marks.select("sh", "n", F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.explode("keys").alias("key")).distinct()
     shared = filed.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b").select("key")
-    filed = durable(filed.join(shared, "key"), "filed", most)
-    wanted = filed.select("sh").distinct().join(sets, "sh").select("sh", F.col("node").alias("th"))
-    held = durable(_shingles(texts.join(wanted, "th").dropDuplicates(["sh"]).select("sh", "text"), width), "sets")
+    filed = durable(filed.join(shuffled(shared), "key"), "filed", most)
+    wanted = filed.select("sh").distinct().join(shuffled(sets), "sh").select("sh", F.col("node").alias("th"))
+    held = durable(_shingles(texts.join(shuffled(wanted), "th").dropDuplicates(["sh"]).select("sh", "text"), width), "sets")
     single = held.select("sh", F.explode("set").alias("x")).groupBy("x").agg(F.min("sh").alias("sh"), F.count("*").alias("n")).where("n = 1")
     single = single.groupBy("sh").agg(F.count("*").alias("u"))
     # u: shingles that no other set has
-    filed = durable(filed.join(single, "sh", "left").select("key", "sh", "n", "b0", "b1", F.coalesce("u", F.lit(0)).alias("u")), "counted", most)
+    filed = durable(filed.join(shuffled(single), "sh", "left").select("key", "sh", "n", "b0", "b1", F.coalesce("u", F.lit(0)).alias("u")), "counted", most)
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Of the pairs (x, y) of filed rows, those that may be similar."""
@@ -167,8 +167,8 @@ def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFra
 
     row = F.struct("sh", "n", "b0", "b1", "u")
     led = durable(filed.groupBy("key").agg(F.min_by(row, F.struct(F.col("u") / F.col("n"), F.xxhash64("sh", "key"))).alias("x")), "leaders", most)
-    pairs = alike(filed.select("key", row.alias("y")).join(led, "key")).select(F.col("x.sh").alias("lead"), F.col("y.sh").alias("sh")).where("lead <> sh").distinct()
-    pairs = pairs.join(held.toDF("lead", "ls"), "lead").join(held, "sh")
+    pairs = alike(filed.select("key", row.alias("y")).join(shuffled(led), "key")).select(F.col("x.sh").alias("lead"), F.col("y.sh").alias("sh")).where("lead <> sh").distinct()
+    pairs = pairs.join(shuffled(held.toDF("lead", "ls")), "lead").join(shuffled(held), "sh")
     lacks = F.array_except("ls", "set")
     word = lambda k: F.aggregate(F.filter("lacks", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda w, x: w.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     # against its leader: shingles in common, how many of the leader's are lacking, and which, in 256 bits by hash
@@ -176,10 +176,10 @@ def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFra
     told = durable(told.select("lead", "sh", "nl", "n", "m", *[word(k).alias(f"w{k}") for k in range(4)]), "led")
     first = told.where(enough(F.col("nl") - F.col("m"), F.col("nl"), F.col("n"))).select(F.least("lead", "sh").alias("u"), F.greatest("lead", "sh").alias("v"))
     groups = connected_components(first)
-    placed = filed.join(groups.withColumnRenamed("node", "sh"), "sh", "left").withColumn("c", F.coalesce("component", "sh"))
+    placed = filed.join(shuffled(groups.withColumnRenamed("node", "sh")), "sh", "left").withColumn("c", F.coalesce("component", "sh"))
     apart = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
-    placed = placed.join(apart, "key").join(led.select("key", F.col("x.sh").alias("lead"), F.col("x.n").alias("nl")), "key")
-    placed = placed.join(told.drop("nl", "n"), ["lead", "sh"], "left")
+    placed = placed.join(shuffled(apart), "key").join(shuffled(led.select("key", F.col("x.sh").alias("lead"), F.col("x.n").alias("nl"))), "key")
+    placed = placed.join(shuffled(told.drop("nl", "n")), ["lead", "sh"], "left")
     own = F.col("sh") == F.col("lead")
     more = [F.when(own, 0).otherwise(F.col(c)).alias(c) for c in ("m", "w0", "w1", "w2", "w3")]
     placed = durable(placed.select("key", "c", F.struct("sh", "n", "b0", "b1", "u", "nl", *more).alias("x")), "placed", most)
@@ -190,12 +190,12 @@ def similar(docs: DataFrame, text_col: str, width: int, least: float) -> DataFra
     lacked = F.least(both + F.least(doubled("x"), doubled("y")), F.col("x.m"), F.col("y.m"))
     extra = lambda r: F.col(f"{r}.n") - (F.col(f"{r}.nl") - F.col(f"{r}.m")) - F.col(f"{r}.u")
     common = F.col("x.nl") - F.col("x.m") - F.col("y.m") + lacked + F.least(extra("x"), extra("y"))
-    near = alike(placed.join(other, "key").where("c < d")).where(F.coalesce(enough(common, F.col("x.n"), F.col("y.n")), F.lit(True)))
+    near = alike(placed.join(shuffled(other), "key").where("c < d")).where(F.coalesce(enough(common, F.col("x.n"), F.col("y.n")), F.lit(True)))
     near = durable(near.select(F.least("x.sh", "y.sh").alias("u"), F.greatest("x.sh", "y.sh").alias("v")).distinct(), "candidates")
-    near = near.join(held.toDF("u", "us"), "u").join(held.toDF("v", "vs"), "v")
+    near = near.join(shuffled(held.toDF("u", "us")), "u").join(shuffled(held.toDF("v", "vs")), "v")
     common = F.size(F.array_intersect("us", "vs"))
     second = near.where(enough(common, F.size("us"), F.size("vs"))).select("u", "v")
-    name = lambda c: sets.select(F.col("sh").alias(c), F.col("node").alias(f"{c}_node"))
+    name = lambda c: shuffled(sets.select(F.col("sh").alias(c), F.col("node").alias(f"{c}_node")))
     near = first.union(second).join(name("u"), "u").join(name("v"), "v").select(F.col("u_node").alias("th"), F.col("v_node").alias("other"))
     return durable(equal.union(near), "similar")
 
@@ -247,8 +247,8 @@ def links(distinct: DataFrame, max_bits: int = 3, hot: int = HOT) -> DataFrame:
         finer = F.transform(F.array(*map(F.lit, range(4))), lambda i: F.struct((F.col("path") * 4 + 1 + i).alias("path"), F.xxhash64("tag", i, F.col("rest").bitwiseAND(part(i))).alias("tag")))
         same = F.array(F.struct(F.col("path"), F.col("tag")))
         crowded = crowded.withColumn("crowd", F.lit(True))
-        filed, probes = (x.join(crowded, on, "left").withColumn("p", F.explode(F.when(F.col("crowd"), finer).otherwise(same))).select("fp", "key", "rest", "p.path", "p.tag") for x in (filed, probes))
-    pairs = filed.select(F.col("fp").alias("u"), *on).join(probes.select(F.col("fp").alias("v"), *on), on)
+        filed, probes = (x.join(shuffled(crowded), on, "left").withColumn("p", F.explode(F.when(F.col("crowd"), finer).otherwise(same))).select("fp", "key", "rest", "p.path", "p.tag") for x in (filed, probes))
+    pairs = filed.select(F.col("fp").alias("u"), *on).join(shuffled(probes.select(F.col("fp").alias("v"), *on)), on)
     return pairs.where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)).select("u", "v")
 
 
@@ -269,14 +269,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if least is not None:
         alike = similar(rows, "text", width, least)
         ends = alike.select(F.explode(F.array("th", "other")).alias("th")).distinct()
-        of_text = rows.select(F.xxhash64("text").alias("th"), "text").join(ends, "th").dropDuplicates(["th"])
+        of_text = rows.select(F.xxhash64("text").alias("th"), "text").join(shuffled(ends), "th").dropDuplicates(["th"])
         of_text = durable(_fingerprints(of_text.select("th", whole("text").alias("text"))), "ends")
-        found = found.union(alike.join(of_text.toDF("th", "u"), "th").join(of_text.toDF("other", "v"), "other").select("u", "v"))
+        found = found.union(alike.join(shuffled(of_text.toDF("th", "u")), "th").join(shuffled(of_text.toDF("other", "v")), "other").select("u", "v"))
     groups = connected_components(found)
-    joined = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("class_fp"))
+    joined = reps.join(shuffled(groups.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("class_fp"))
     joined = durable(joined, "labelled", n)
     smallest = joined.groupBy("class_fp").agg(F.min("rep").alias("component_id"))
-    return prints.join(joined.join(smallest, "class_fp").select("fp", "class_fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "class_fp", "component_id")
+    return prints.join(shuffled(joined.join(shuffled(smallest), "class_fp").select("fp", "class_fp", "component_id")), "fp").select(F.col("id").alias(id_col), "fp", "class_fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
@@ -289,5 +289,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     groups = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", least=least)
     keep = groups.select(F.col("component_id").alias("k")).distinct().select(F.col("k.id").alias("id"), F.col("k.h").alias("h"))
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), h.alias("own"))
-    kept = rows.join(keep, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("h")), "left_semi")
+    kept = rows.join(shuffled(keep), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("h")), "left_semi")
     return kept.dropDuplicates(["own_id", "own"]).select(*unpacked(docs, {}))
