@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import discard, durable, row_of, unpacked, whole
+from parcelflow.llm.common import discard, durable, row_of, shuffled, unpacked, whole
 
 NEAR_CHARS = 20
 PIECE = 64
@@ -63,7 +63,7 @@ def _meeting(rows: DataFrame, keys: Column) -> DataFrame:
     """The rows' h1, with repeats, that share a key with a row of another h1."""
     held = rows.select("h1", F.explode(keys).alias("key"))
     shared = held.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    return held.join(shared, "key").select("h1")
+    return held.join(shuffled(shared), "key").select("h1")
 
 
 def _variants(line: Column) -> Column:
@@ -99,24 +99,24 @@ def _variants(line: Column) -> Column:
 def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str, text_col: str, near_chars: int, most: int) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within one edit. held: (h1, halves) of all lines, at most `most`; first: (h1, h2, at), each distinct line's earliest place."""
     live = durable(_meeting(held, F.col("halves")).distinct(), "live", most)
-    some = F.broadcast(live) if live.count() <= SMALL else live
+    some = F.broadcast(live) if live.count() <= SMALL else shuffled(live)
     lines = _lines(docs, id_col, text_col, near_chars).join(some, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
     every = durable(lines, "lines")
     most = every.count()
-    lines = every.join(_meeting(every, _without_block(F.col("line"))).distinct(), "h1", "left_semi")
-    lines = durable(lines.join(first, ["h1", "h2"]).select(F.struct("at", "h1", "h2").alias("me"), "line"), "candidates", most)
+    lines = every.join(shuffled(_meeting(every, _without_block(F.col("line"))).distinct()), "h1", "left_semi")
+    lines = durable(lines.join(shuffled(first), ["h1", "h2"]).select(F.struct("at", "h1", "h2").alias("me"), "line"), "candidates", most)
     variants = lines.select(F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.explode(_variants(F.col("line"))).alias("v")).select("h1", "h2", "v.*")
     variants = durable(variants, "variants")  # making them costs more than keeping them
     met = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    found = durable(variants.join(met, "key"), "found")
+    found = durable(variants.join(shuffled(met), "key"), "found")
     discard(variants)
-    held_by = found.join(lines.select(F.col("me"), F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2")), ["h1", "h2"]).select("key", "kind", "me")
+    held_by = found.join(shuffled(lines.select(F.col("me"), F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"))), ["h1", "h2"]).select("key", "kind", "me")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("me")))
     groups = held_by.groupBy("key").agg(least(0).alias("r"), least(1).alias("d"), least(2).alias("s"))
     other = F.when(F.col("kind") == 0, F.col("r")).when(F.col("kind") == 1, F.col("s")).otherwise(F.col("d"))
-    pairs = held_by.join(groups, "key").select("me", other.alias("other")).where(F.col("other") < F.col("me")).distinct()
+    pairs = held_by.join(shuffled(groups), "key").select("me", other.alias("other")).where(F.col("other") < F.col("me")).distinct()
     mine, theirs = lines.toDF("me", "line"), lines.toDF("other", "earlier")
-    checked = pairs.join(mine, "me").join(theirs, "other").where(F.levenshtein("line", "earlier", 1).between(0, 1))
+    checked = pairs.join(shuffled(mine), "me").join(shuffled(theirs), "other").where(F.levenshtein("line", "earlier", 1).between(0, 1))
     near = durable(checked.select("me.h1", "me.h2").distinct(), "near", most)
     discard(live, every, lines, found)
     return near
@@ -131,8 +131,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     most = held.count()
     first = durable(held.groupBy("h1", "h2").agg(F.min(place).alias("at")), "first", most)
     near = near_lines(docs, held, first, id_col, text_col, near_chars, most)
-    status = first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    rows = held.select("h1", "h2", place.alias("place")).join(status, ["h1", "h2"]).where((F.col("place") > F.col("at")) | F.col("near"))
+    status = first.join(shuffled(near.withColumn("near", F.lit(True))), ["h1", "h2"], "left").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    rows = held.select("h1", "h2", place.alias("place")).join(shuffled(status), ["h1", "h2"]).where((F.col("place") > F.col("at")) | F.col("near"))
     return rows.select("place.id", "place.th", "place.pos", (F.col("place") <= F.col("at")).alias("near"))
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from parcelflow.llm import langid, line_dedup, quality, queries, secrets, simhash
+from parcelflow.llm import components, langid, line_dedup, quality, queries, secrets, simhash
 from tests.llm.data import awkward, plain, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -365,3 +365,22 @@ def test_quality_false_rejections_stay_within_the_risk(spark):
     got = quality.thresholds(labelled, risk, delta * 150).collect()  # each stratum at level delta
     true = lambda cutoff: math.exp(-((cutoff // 5 + 1)) / 6)  # noqa: E731  symbols are 20 permille for 100
     assert len(got) >= 100 and sum(true(x["cutoff"]) > risk for x in got) <= delta * 150 + 3 * math.sqrt(delta * 150)
+
+
+def test_growing_tables_are_not_broadcast(spark, monkeypatch):
+    """The statistics see neither compression nor an explode, so no growing side of a join may be left to them."""
+    plans = []
+
+    def noted(df, *args, made=simhash.durable):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return made(df, *args)
+
+    for module in (components, line_dedup, simhash):
+        monkeypatch.setattr(module, "durable", noted)
+    docs = table(spark, awkward())
+    out = [simhash.near_duplicates(docs.select("doc_id", "text"), least=0.8), simhash.links(docs.select(F.xxhash64("text").alias("fp")).distinct()), line_dedup.dropped_lines(docs)]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in out]
+    assert sum("Join" in p for p in plans) > 10
+    # line dedup sends the hashes of lines of which it has counted few
+    found = [p for p in plans if "BroadcastExchange" in p]
+    assert len(found) <= 1, found[0]
