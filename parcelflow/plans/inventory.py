@@ -200,7 +200,7 @@ NEAR = "(SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FRO
 def nearest_points(t):
     """Each point's nearest other point within a limit."""
     p = t.embeddings.select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return R.nearest(p.toDF("a", "x", "y"), p.toDF("b", "x", "y"), 0.05, F.col("a") != F.col("b"), ["a"], "b")
+    return R.nearest(p.toDF("a", "x", "y"), p.toDF("b", "x", "y"), 0.05, F.col("a") != F.col("b"), ["a"], "b", 2)
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE n <= 5 OR list_contains(list_transform(generate_series(0, 4), lambda k: k * (n - 1) // 4), i)")

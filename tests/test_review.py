@@ -325,3 +325,19 @@ def test_signed_tokens(spark):
             read = lambda c, k=key: J.claims(c, k, F.lit(100))
             got = rows.select(J.sign(F.col("payload"), key), read(F.col("token")), read(F.col("token"), "other"), read(F.concat("token", F.lit("."))), read(F.col("plain")), read(F.lit("a.?.b"))).first()
             assert tuple(got) == (token, None if payload in ('{"exp":99}', '{"exp":"soon"}') else payload, None, None, None, None)
+
+
+def test_nearest_in_dense_and_coincident_places(spark):
+    """Halved cells find what all pairs find: copies in one place, a dense spot, lone rows, places that are not numbers."""
+    import random
+
+    r = random.Random(5)
+    rows = [(i, 0.31, 0.31) for i in range(90, 0, -1)] + [(100 + i, 0.5 + r.gauss(0, 0.001), 0.5 + r.gauss(0, 0.001)) for i in range(200)]
+    rows += [(400 + i, r.uniform(-1, 1), r.uniform(-1, 1)) for i in range(100)] + [(600, 5.0, 5.0), (601, 5.05, 5.0), (602, -0.0, 0.0), (603, 0.0, 0.0), (604, float("nan"), 0.0), (605, float("nan"), 0.0), (606, None, 1.0)]
+    df = spark.createDataFrame(rows, "a long, x double, y double")
+    far = lambda p, q: ((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) ** 0.5
+    near = {p[0]: [(round(far(p, q), 9), q[0]) for q in rows[:-1] if p[0] != q[0] and far(p, q) <= 0.05] for p in rows[:-1]}
+    want = {k: min(v)[1] for k, v in near.items() if v}
+    for few in (None, 2, 3):
+        got = R.nearest(df, df.withColumnRenamed("a", "b"), 0.05, F.col("a") != F.col("b"), ["a"], "b", few).collect()
+        assert {x["a"]: x["b"] for x in got} == want and len(got) == len(want)
