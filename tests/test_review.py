@@ -341,3 +341,14 @@ def test_nearest_in_dense_and_coincident_places(spark):
     for few in (None, 2, 3):
         got = R.nearest(df, df.withColumnRenamed("a", "b"), 0.05, F.col("a") != F.col("b"), ["a"], "b", few).collect()
         assert {x["a"]: x["b"] for x in got} == want and len(got) == len(want)
+
+
+def test_box_join_deals_tasks_by_pairs_and_files_few_copies(spark, monkeypatch):
+    """Few bytes may be many pairs; wide boxes on the left meet many small ones on the right in few cells."""
+    points = spark.range(3000).select("id", G.envelope(F.col("id") % 50, F.col("id") % 60, F.col("id") % 50, F.col("id") % 60).alias("own"))
+    wide = points.select(F.col("id").alias("a"), G.expand(F.col("own"), 10.0).alias("box"))
+    monkeypatch.setattr(R, "TASK_PAIRS", 100_000, raising=False)
+    got = R.box_join(wide, points, "box", "own")
+    assert got.rdd.getNumPartitions() > 20
+    at = [(i % 50, i % 60) for i in range(3000)]
+    assert got.count() == sum(abs(x - u) <= 10 and abs(y - v) <= 10 for x, y in at[:300] for u, v in at) * 10
