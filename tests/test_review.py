@@ -352,3 +352,16 @@ def test_box_join_deals_tasks_by_pairs_and_files_few_copies(spark, monkeypatch):
     assert got.rdd.getNumPartitions() > 20
     at = [(i % 50, i % 60) for i in range(3000)]
     assert got.count() == sum(abs(x - u) <= 10 and abs(y - v) <= 10 for x, y in at[:300] for u, v in at) * 10
+
+
+def test_box_join_tests_few_pairs_in_vain(spark, monkeypatch):
+    """Cells are narrower than the boxes, so most pairs that meet in a cell are results; the tasks tell how many pairs there are."""
+    points = spark.range(6000).select("id", (F.col("id") * 7919 % 997 / 20).alias("x"), (F.col("id") * 104729 % 991 / 20).alias("y"))
+    points = points.select("id", G.envelope(F.col("x"), F.col("y"), F.col("x"), F.col("y")).alias("own"))
+    wide = points.select(F.col("id").alias("a"), G.expand(F.col("own"), 10.0).alias("box"))
+    monkeypatch.setattr(R, "TASK_PAIRS", 200_000)
+    got = R.box_join(wide, points, "box", "own")
+    at = [(i * 7919 % 997 / 20, i * 104729 % 991 / 20) for i in range(6000)]
+    near = sum(abs(x - u) <= 10 and abs(y - v) <= 10 for x, y in at[::20] for u, v in at) * 20
+    assert got.count() == pytest.approx(near, rel=0.05)
+    assert got.rdd.getNumPartitions() * 200_000 < 3 * near
