@@ -365,3 +365,27 @@ def test_box_join_tests_few_pairs_in_vain(spark, monkeypatch):
     near = sum(abs(x - u) <= 10 and abs(y - v) <= 10 for x, y in at[::20] for u, v in at) * 20
     assert got.count() == pytest.approx(near, rel=0.05)
     assert got.rdd.getNumPartitions() * 200_000 < 3 * near
+
+
+def test_code_tiers_broadcast_no_exploded_rows(spark, sf, monkeypatch):
+    """Units of any number: their grams and keys go by shuffle, whatever their files' size, and find what the slow reading finds."""
+    from parcelflow.plans.review import Tables
+
+    monkeypatch.setattr(R, "MANY", 0)
+    texts, units, valid = places.recognised(Tables(spark, sf))
+    found = C.tiered_codes(texts, "p_partkey", "t", units, valid)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    listed, codes, got = [tuple(u) for u in units.collect()], {r[0] for r in valid.collect()}, {}
+    for r in found.collect():
+        got.setdefault(r["p_partkey"], (r["tier"], set()))[1].add(r["code"])
+    want = {r["p_partkey"]: slow_codes(r["t"], listed, codes) for r in texts.collect()}
+    assert got == {k: v for k, v in want.items() if v[1]}
+
+
+def test_run_keys_stand_for_all_variants(spark):
+    """A code is among a run's variants just when they share a key."""
+    runs = spark.createDataFrame([(r,) for r in ("1234567", "12345678", "123456789", "1234567890", "12345678901", "0000000", "00000000", "010010010", "123456", "123456789012")], "run string")
+    codes = runs.select(F.explode(X.fuzzy_variants(F.col("run"))).alias("code")).union(spark.createDataFrame([("99999999",), ("12345687",), ("00000012",), ("01234568",)], "code string")).distinct()
+    pairs = runs.crossJoin(codes).select("run", "code", F.array_contains(X.fuzzy_variants(F.col("run")), F.col("code")).alias("want"), F.arrays_overlap(X.run_keys(F.col("run")), X.code_keys(F.col("code"))).alias("got"))
+    rows = pairs.collect()
+    assert all(r["want"] == r["got"] for r in rows) and {r["want"] for r in rows} == {True, False}
