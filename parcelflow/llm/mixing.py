@@ -19,9 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from parcelflow.llm.common import durable, n_words, row_of, unpacked, whole, with_running_total, words
+from parcelflow.llm.common import durable, n_words, row_of, short_table, unpacked, whole, with_running_total, words
 
 BLOCK, SEED, WEIGHTS, SHARE, MOST = 1024, 7, (3, 1, 2), 1.5, 2
 #: Slots of an output shard at least; there are never more than MAX_SHARDS, so the draws stay a small table.
@@ -137,25 +136,29 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sources = plan([int(r[1]) for r in found])
-    names = rows.sparkSession.createDataFrame([(r[0], k) for k, r in enumerate(found)], "name string, number int")
+    names = short_table(rows.sparkSession, [(r[0], k) for k, r in enumerate(found)], "name string, number int")
     return rows.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).drop("name"), sources
 
 
 def slots(spark, sources: list[Source], block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(shard, number, slot, block, part): every slot of the mix. part: how many words of the block are taken, `block` for all."""
 
-    @pandas_udf("long")
-    def place(number, slot, blocks):
-        import pandas as pd
+    def place(batches):
+        import pyarrow as pa
 
-        return pd.Series(permuted(slot % blocks, blocks, seed * 1_000_003 + number))
+        for batch in batches:
+            number, slot, blocks = (batch.column(c).to_numpy() for c in ("number", "slot", "blocks"))
+            at = permuted(slot % blocks, blocks, seed * 1_000_003 + number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "block"])
 
-    rows = spark.createDataFrame(draws(sources, seed), "shard int, number int, first long, n long")
-    blocks = F.element_at(F.array(*[F.lit(max(1, -(-s.size // block))).cast("long") for s in sources] or [F.lit(1)]), F.col("number") + 1)
+    rows = short_table(spark, draws(sources, seed), "shard int, number int, first long, n long")
+    blocks = F.element_at(F.array(*[F.lit(max(1, -(-s.size // block))).cast("long") for s in sources] or [F.lit(1).cast("long")]), F.col("number") + 1)
     last = F.element_at(F.array(*[F.lit(s.slots - 1).cast("long") for s in sources] or [F.lit(0)]), F.col("number") + 1)
     rest = F.element_at(F.array(*[F.lit(s.rest) for s in sources] or [F.lit(0)]), F.col("number") + 1)
     each = rows.repartition("shard", "number").select("shard", "number", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-    return each.select("shard", "number", "slot", place("number", "slot", blocks).alias("block"), F.when(F.col("slot") == last, rest).otherwise(block).cast("int").alias("part"))
+    # not a UDF: a join on block would put its "is not null" below, which calls a UDF twice, in two Python workers for each task
+    each = each.withColumn("blocks", blocks).mapInArrow(place, "shard int, number int, slot long, blocks long, block long")
+    return each.select("shard", "number", "slot", "block", F.when(F.col("slot") == last, rest).otherwise(block).cast("int").alias("part"))
 
 
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:

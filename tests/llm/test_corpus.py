@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelflow.llm import components, mixing, packing, sharding, tokens, vectors
+from parcelflow.llm import common, components, mixing, packing, sharding, tokens, vectors
 from tests.llm.data import awkward, plain, table
 from tests.llm.test_documents import slow_components, slow_features, slow_fingerprint, slow_lines
 
@@ -222,6 +222,21 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).count() == 0 and mixing.mixed(table(spark, [])).count() == 0
 
 
+def test_mixing_takes_one_python_worker_a_task(spark):
+    docs = common.durable(table(spark, awkward(3)), "docs")
+    for mix in (mixing.mix, mixing.mixed):
+        plan = mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall("ArrowEvalPython|BatchEvalPython|MapInArrow|MapInPandas", plan)) == 1
+        assert "LogicalRDD" not in plan  # tuples that went through Python workers of another environment
+
+
+def test_short_tables(spark):
+    rows = [("a", 1), (None, 2), ("é", None)]
+    assert common.short_table(spark, rows, "name string, number int").collect() == spark.createDataFrame(rows, "name string, number int").collect()
+    empty = common.short_table(spark, [], "name string, number int")
+    assert not empty.collect() and empty.dtypes == [("name", "string"), ("number", "int")]
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
